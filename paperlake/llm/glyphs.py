@@ -99,19 +99,22 @@ def plain(text: str) -> str:
 def one_script(word: str) -> str | None:
     """A word of mixed scripts written in one, or None if that is impossible; the word itself if it is not mixed.
 
-    The dominant script is tried first; among equals Latin, then Cyrillic.
+    The dominant script is tried first; among equals Latin, then Cyrillic.  A
+    reading that needs Latin letters which resemble Cyrillic ones only in some
+    typefaces is taken last.
     """
     count = {"L": len(_IN_LATIN.findall(word)), "C": len(_IN_CYRILLIC.findall(word)), "G": len(_IN_GREEK.findall(word))}
     if sum(n > 0 for n in count.values()) < 2:
         return word
+    readings = []
     for script in sorted(count, key=lambda s: -count[s]):
-        if not count[script]:
-            continue
-        table, own = TO[script], {"L": _IN_LATIN, "C": _IN_CYRILLIC, "G": _IN_GREEK}[script]
-        new = "".join(c if own.match(c) or unicodedata.combining(c) else table.get(c, "\0") for c in word)
-        if "\0" not in new:
-            return new
-    return None
+        if count[script]:
+            table, own = TO[script], {"L": _IN_LATIN, "C": _IN_CYRILLIC, "G": _IN_GREEK}[script]
+            new = "".join(c if own.match(c) or unicodedata.combining(c) else table.get(c, "\0") for c in word)
+            if "\0" not in new:
+                weak = script == "C" and any(c in WEAK_CYRILLIC for c in word)
+                readings.append((weak, new))
+    return min(readings, key=lambda r: r[0])[1] if readings else None
 
 
 def whole_word_reading(word: str, script: str) -> str | None:
