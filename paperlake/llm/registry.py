@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperlake.llm import glyph_queries, quality_queries, scan_queries, sentence_queries
+from paperlake.llm import glyph_queries, name_queries, quality_queries, scan_queries, sentence_queries
 
-MODULES = (sentence_queries, quality_queries, scan_queries, glyph_queries)
+MODULES = (name_queries, sentence_queries, quality_queries, scan_queries, glyph_queries)
 
 
 def queries() -> dict:
