@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from paperlake.llm import glyph_queries, name_queries, quality_queries, scan_queries, sentence_queries
+from paperlake.llm import (
+    glyph_queries,
+    leak_queries,
+    name_queries,
+    quality_queries,
+    scan_queries,
+    sentence_queries,
+    survivor_queries,
+)
 
-MODULES = (name_queries, sentence_queries, quality_queries, scan_queries, glyph_queries)
+MODULES = (
+    name_queries,
+    survivor_queries,
+    sentence_queries,
+    quality_queries,
+    scan_queries,
+    glyph_queries,
+    leak_queries,
+)
 
 
 def queries() -> dict:
