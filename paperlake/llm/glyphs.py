@@ -22,8 +22,8 @@ from paperlake.llm.inputs import map_lists
 from paperlake.session import cut
 
 # Characters without width, other spaces, other hyphens.
-INVISIBLE = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-SPACES = "               　"
+INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "‐‑⁃﹣－"
 
 # Letters that look alike, Cyrillic and Greek to Latin.
@@ -54,24 +54,24 @@ TO = {
 WEAK_CYRILLIC = frozenset("kmtbhnur")
 
 _LATIN = r"A-Za-zªºÀ-ÖØ-öø-ɏᴀ-ᶿḀ-ỿ"
-_CYRILLIC = r"Ѐ-ԯᲀ-᲏"
-_GREEK = r"Ͱ-Ͽἀ-῿"
+_CYRILLIC = r"Ѐ-ԯᲀ-\u1c8f"
+_GREEK = r"Ͱ-Ͽἀ-\u1fff"
 _MARK = r"̀-ͯ"
 WORD = re.compile(f"[{_LATIN}{_CYRILLIC}{_GREEK}{_MARK}]+")
 _IN_LATIN = re.compile(f"[{_LATIN}]")
 _IN_CYRILLIC = re.compile(f"[{_CYRILLIC}]")
 _IN_GREEK = re.compile(f"[{_GREEK}]")
 _FOREIGN_WORD = re.compile(f"[{_LATIN}{_MARK}]*[{_CYRILLIC}{_GREEK}][{_LATIN}{_CYRILLIC}{_GREEK}{_MARK}]*")
-_EAST = re.compile(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿]")
-_ODD = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}" + r"ﬀ-ﬆ！-￯\U0001d400-\U0001d7ff]")
+_EAST = re.compile(r"[\u3040-ヿㇰ-ㇿ㐀-䶿一-鿿豈-\ufaff]")
+_ODD = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}" + r"ﬀ-ﬆ！-\uffef\U0001d400-\U0001d7ff]")
 _WIDE_LETTER = re.compile(r"[０-９Ａ-Ｚａ-ｚﬀ-ﬆ\U0001d400-\U0001d7ff]")
 _HALF_KANA = re.compile(r"[｡-ﾟ]+")
 _WIDE_SIGN = re.compile(r"[！-／：-＠［-｀｛-｠￠-￦]")
 _ONE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
 # A joiner after a virama spells a conjunct and an ideographic space is ordinary
 # beside East Asian text; both are set aside while the rest is replaced.
-_KEPT = re.compile("(?<=्)[‌‍]|(?<=[、-ヿ㐀-鿿！-？])　|(?m:^)　+")
-_ASIDE = {"‌": "", "‍": "", "　": ""}
+_KEPT = re.compile("(?<=्)[\u200c\u200d]|(?<=[、-ヿ㐀-鿿！-？])\u3000|(?m:^)\u3000+")
+_ASIDE = {"\u200c": "\ue000", "\u200d": "\ue001", "\u3000": "\ue002"}
 _BACK = {ord(v): k for k, v in _ASIDE.items()}
 
 #: Values without any of these need no repair; tested in the JVM before a row is sent to Python.
@@ -85,7 +85,7 @@ def plain(text: str) -> str:
         return text
     east = bool(_EAST.search(text))
     kept = text
-    if "्‌" in text or "्‍" in text or east and "　" in text:
+    if "्\u200c" in text or "्\u200d" in text or east and "\u3000" in text:
         kept = _KEPT.sub(lambda m: "".join(_ASIDE[c] for c in m.group()), text)
     kept = kept.translate(_ONE)
     kept = _WIDE_LETTER.sub(lambda m: unicodedata.normalize("NFKC", m.group()), kept)

@@ -12,6 +12,7 @@ in characters.  Every hit is verified by comparing the whole window.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +29,15 @@ SHINGLE_CHARACTERS = 8
 #: Windows of items searched for in one pass over the documents; more items are searched in blocks.
 MOST_WINDOWS = 500_000
 
-# Letters and digits of all scripts with their marks; everything else is punctuation or space.
-WORD = re.compile(
-    r"[^\s_!-/:-@\[-`{-~\u0080-©«-±´¶-¸»¿×÷।॥"
-    r" -⁯₠-⃏←-⯿　-〄〈-〠〰・！-／：-＠［-｀｛-･]+"
+# Everything beyond ASCII that is neither letter, mark nor digit.
+_SIGNS = re.compile(
+    "[\\u0080-\\u00a9\\u00ab-\\u00b1\\u00b4\\u00b6-\\u00b8\\u00bb\\u00bf\\u00d7\\u00f7\\u0964\\u0965"
+    "\\u2000-\\u206f\\u20a0-\\u20cf\\u2190-\\u2bff\\u3000-\\u3004\\u3008-\\u3020\\u3030\\u30fb"
+    "\\uff01-\\uff0f\\uff1a-\\uff20\\uff3b-\\uff40\\uff5b-\\uff65]"
 )
-_EAST = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
+# The same within ASCII, on UTF-8 bytes.
+_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_EAST = re.compile(r"[\u3040-ヿ㐀-䶿一-鿿]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,14 +49,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of `width` codes."""
+    """Hashes of all runs of `width` codes; scattered by _mix before they are compared by size."""
     n = len(codes) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(width):
-        h = h * _MULTIPLIER + codes[i : i + n]
-    return _mix(h)
+    h = codes[:n].copy()
+    for i in range(1, width):
+        h *= _MULTIPLIER
+        h += codes[i : i + n]
+    h *= _MULTIPLIER
+    return h
 
 
 def is_east(text: str) -> bool:
@@ -60,68 +66,67 @@ def is_east(text: str) -> bool:
     return len(_EAST.findall(text)) * 3 > len(text)
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(plain(text).lower())
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in lower case, as UTF-8."""
+    text = text.lower() if text.isascii() else _SIGNS.sub(" ", plain(text).lower())
+    return text.encode().translate(_SPACED).split()
 
 
-def character_codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+def character_codes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(words).decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-class Partition(NamedTuple):
-    """Items of one size class: signatures, and for each the windows it stands for."""
+class Signatures(NamedTuple):
+    """Signatures of all windows whose shingles have one length."""
 
-    window: int
     shingle: int
-    hashes: np.ndarray  # sorted signatures
+    maybe: np.ndarray  # by the upper 16 bits: whether any signature has them
     windows: dict[int, list[tuple[int, int, np.ndarray]]]  # signature -> (item, place in the window, window)
 
 
 class Index(NamedTuple):
-    vocabulary: dict[str, int]
-    words: list[Partition]
-    characters: list[Partition]
+    vocabulary: dict[bytes, int]
+    words: list[Signatures]
+    characters: list[Signatures]
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     """Signatures of all windows of the items (id, text).  An item without letters or digits has none."""
-    vocabulary: dict[str, int] = {}
-    classes: dict[tuple[bool, int, int], list[tuple[int, np.ndarray]]] = {}
+    vocabulary: dict[bytes, int] = {}
+    found: dict[tuple[bool, int], dict[int, list]] = {}
     for item, text in items:
         words = words_of(text or "")
         if not words:
             continue
-        east = is_east(text)
-        if east:
+        # The size class of an item: whether it fills a window and a shingle.
+        if east := is_east(text):
             codes = character_codes(words)
-            window = min(len(codes), PASSAGE_CHARACTERS)
-            shingle = min(window, SHINGLE_CHARACTERS)
+            window, shingle = min(len(codes), PASSAGE_CHARACTERS), min(len(codes), SHINGLE_CHARACTERS)
         else:
             codes = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.uint64)
-            window = min(len(codes), PASSAGE_WORDS)
-            shingle = min(window, SHINGLE_WORDS)
-        classes.setdefault((east, window, shingle), []).append((item, codes))
-    out: dict[bool, list[Partition]] = {True: [], False: []}
-    for (east, window, shingle), members in sorted(classes.items(), key=lambda c: c[0]):
-        windows: dict[int, list] = {}
-        for item, codes in members:
-            hashes = shingle_hashes(codes, shingle)
-            for start in range(len(codes) - window + 1):
-                at = int(np.argmin(hashes[start : start + window - shingle + 1]))
-                windows.setdefault(int(hashes[start + at]), []).append((item, at, codes[start : start + window]))
-        out[east].append(Partition(window, shingle, np.array(sorted(windows), np.uint64), windows))
+            window, shingle = min(len(codes), PASSAGE_WORDS), min(len(codes), SHINGLE_WORDS)
+        hashes = shingle_hashes(codes, shingle)
+        order = _mix(hashes)
+        windows = found.setdefault((east, shingle), {})
+        for start in range(len(codes) - window + 1):
+            at = int(np.argmin(order[start : start + window - shingle + 1]))
+            windows.setdefault(int(hashes[start + at]), []).append((item, at, codes[start : start + window]))
+    out: dict[bool, list[Signatures]] = {True: [], False: []}
+    for (east, shingle), windows in sorted(found.items()):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[np.array(list(windows), np.uint64) >> np.uint64(48)] = True
+        out[east].append(Signatures(shingle, maybe, windows))
     return Index(vocabulary, out[False], out[True])
 
 
-def _hits(codes: np.ndarray, partitions: list[Partition], found: set[int]) -> None:
-    for p in partitions:
-        hashes = shingle_hashes(codes, p.shingle)
-        if not len(hashes):
-            continue
-        for at in np.flatnonzero(np.isin(hashes, p.hashes)):
-            for item, offset, window in p.windows[int(hashes[at])]:
-                start = at - offset
-                if item not in found and start >= 0 and np.array_equal(codes[start : start + p.window], window):
+def _hits(codes: np.ndarray, signatures: list[Signatures], found: set[int]) -> None:
+    for s in signatures:
+        hashes = shingle_hashes(codes, s.shingle)
+        at = np.flatnonzero(s.maybe[hashes >> np.uint64(48)])
+        for place, h in zip(at.tolist(), hashes[at].tolist()):
+            for item, offset, window in s.windows.get(h, ()):
+                start = place - offset
+                if item not in found and start >= 0 and np.array_equal(codes[start : start + len(window)], window):
                     found.add(item)
 
 
@@ -130,9 +135,9 @@ def leaked_items(text: str, index: Index) -> set[int]:
     found: set[int] = set()
     words = words_of(text)
     if index.words and words:
-        known = index.vocabulary.get
-        _hits(np.array([known(w, 0) for w in words], np.uint64), index.words, found)
-    if index.characters and _EAST.search(text):
+        codes = np.fromiter(map(index.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+        _hits(codes, index.words, found)
+    if index.characters and not text.isascii() and _EAST.search(text):
         _hits(character_codes(words), index.characters, found)
     return found
 

@@ -6,14 +6,14 @@ import re
 
 #: One word: a run of anything but space, digits, ASCII signs and the punctuation and symbol blocks.
 WORDS = re.compile(
-    r"[^\s\d_!-/:-@\[-`{-~\u0080-©«-´¶-¹»-¿×÷।॥"
-    r" -⯿　-〄〈-〠〰・！-／：-＠［-｀｛-･]+"
+    r"[^\s\d_!-/:-@\[-`{-~\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u0964\u0965"
+    r"\u2000-\u2bff\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+"
 )
 #: Scripts written without spaces between words.
-UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]")
-THAI = re.compile(r"[฀-๿]")
-KANA = re.compile(r"[぀-ヿ]")
-HAN = re.compile(r"[㐀-鿿豈-﫿]")
+UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-ヿ㐀-鿿豈-\ufaff]")
+THAI = re.compile(r"[\u0e00-\u0e7f]")
+KANA = re.compile(r"[\u3040-ヿ]")
+HAN = re.compile(r"[㐀-鿿豈-\ufaff]")
 DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
