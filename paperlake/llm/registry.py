@@ -10,11 +10,13 @@ from paperlake.llm import (
     scan_queries,
     sentence_queries,
     survivor_queries,
+    token_queries,
 )
 
 MODULES = (
     name_queries,
     survivor_queries,
+    token_queries,
     sentence_queries,
     quality_queries,
     scan_queries,
