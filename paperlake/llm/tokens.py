@@ -139,8 +139,8 @@ class Measured:
         return after.isalpha() and not (before.isspace() or before.isalnum() or before == "'" or unicodedata.category(before)[0] in "LMN")
 
     def tokens_to(self, at: int) -> int:
-        """Tokens needed for the text up to a character."""
-        return int(np.searchsorted(self.ends, at, side="left")) + 1 if at else 0
+        """Tokens of the text up to a character; a token that goes on beyond it isn't counted."""
+        return int(np.searchsorted(self.ends, at, side="right"))
 
     def character_at(self, tokens: int) -> int:
         """The last character boundary within so many tokens."""
@@ -171,7 +171,7 @@ def cut(
     if m.n <= capacity:
         return [(0, 0, len(text), m.n)]
     places = boundaries(text)
-    at_tokens = np.searchsorted(m.ends, np.array(places, np.int64), side="left") + 1
+    at_tokens = np.searchsorted(m.ends, np.array(places, np.int64), side="right")
     words: list[list[str]] = []
     if cohesive:
         for a, b in zip([0, *places], [*places, len(text)]):
