@@ -26,8 +26,8 @@ SECTION_TYPES = {
 }
 WANTED = tuple(SECTION_TYPES)
 # Fixed value: the characters that end a line.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-_NO_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_NO_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 SECTION = "array<struct<type: string, title: string, content: string, level: int, start: int, end: int>>"
 
