@@ -26,7 +26,8 @@ def budget_fold(seeds: Column, max_papers: Column) -> Column:
     start = F.struct(nothing.alias("found"), nothing.alias("visited"))
 
     def step(state: Column, seed: Column) -> Column:
-        left = F.greatest(max_papers - F.size(state["found"]), F.lit(0))
+        # greatest() passes over nulls, so a missing budget is kept apart.
+        left = F.when(max_papers.isNotNull(), F.greatest(max_papers - F.size(state["found"]), F.lit(0)))
         tried = F.when(max_papers.isNull(), seed["candidates"]).otherwise(F.slice(seed["candidates"], F.lit(1), left))
         stopped = F.coalesce(left == 0, F.lit(False)) | F.coalesce(F.array_contains(state["visited"], seed["page"]), F.lit(False))
         page = F.when(seed["page"].isNotNull(), F.array(seed["page"])).otherwise(nothing)

@@ -7,6 +7,7 @@ section type the last section wins.  Nothing is exploded or shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ _NO_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SECTION = "array<struct<type: string, title: string, content: string, level: int, start: int, end: int>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` applied to a value that is computed once per row, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -54,21 +60,25 @@ def heading(line: Column) -> Column:
         strip(F.regexp_extract(line, NUMBERED, 2)).alias("title"), F.size(F.split(number, r"\.")).cast("int").alias("level")
     )
     plain = F.struct(line.alias("title"), F.lit(1).cast("int").alias("level"))
-    return F.when(line.rlike(NUMBERED), numbered).when(line.rlike(TITLE_CASE) & F.lower(line).isin(*UNNUMBERED), plain)
+    # Most lines end in a mark or begin in lower case, which rules both patterns out cheaply.
+    may = line.rlike(r"^[A-Z0-9].*[A-Za-z0-9\-:]$")
+    return F.when(may & line.rlike(NUMBERED), numbered).when(may & line.rlike(TITLE_CASE) & F.lower(line).isin(*UNNUMBERED), plain)
 
 
 def headings(text: Column) -> Column:
     """array of struct(title, level, start) in order; start counts characters."""
     empty = F.array().cast("array<struct<title: string, level: int, start: int>>")
 
-    def step(state: Column, line: Column) -> Column:
-        found = heading(strip(line))
+    def add(state: Column, line: Column, found: Column) -> Column:
         entry = F.struct(found["title"].alias("title"), found["level"].alias("level"), state["at"].alias("start"))
         return F.struct(
             (state["at"] + F.length(line)).cast("int").alias("at"),
             F.when(found.isNotNull(), F.array_append(state["found"], entry)).otherwise(state["found"]).alias("found"),
         )
 
+    def step(state: Column, line: Column) -> Column:
+        return let(strip(line), lambda bare: let(heading(bare), lambda found: add(state, line, found)))
+
     start = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("found"))
     return F.aggregate(lines(text), start, step, lambda s: s["found"])
 
@@ -85,16 +95,14 @@ def section_type(title: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPE
 
 def slug(title: Column) -> Column:
     """Lower case, signs and spaces as underscores."""
-    return F.replace(F.regexp_replace(F.lower(title), r"(?U)[^\w\s]", "_"), F.lit(" "), F.lit("_"))
+    return F.replace(F.regexp_replace(F.lower(title), r"(?U)[^\p{L}\p{N}_\s]", "_"), F.lit(" "), F.lit("_"))
 
 
 def sections(text: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
     """All sections of a normalised text, in order.  Texts without headings, empty and null texts have none."""
-    found = headings(text)
-    n = F.size(found)
 
-    def one(h: Column, i: Column) -> Column:
-        end = F.when(i + 1 < n, F.get(found, i + 1)["start"]).otherwise(F.length(text))
+    def one(found: Column, h: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
         body = strip(F.substring(text, h["start"] + 1, end - h["start"]))
         return F.struct(
             section_type(h["title"], types).alias("type"),
@@ -105,21 +113,23 @@ def sections(text: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) ->
             end.cast("int").alias("end"),
         )
 
-    return F.coalesce(F.transform(found, one), F.array().cast(SECTION))
+    every = let(headings(text), lambda found: F.transform(found, lambda h, i: one(found, h, i)))
+    return F.coalesce(every, F.array().cast(SECTION))
 
 
 def section_map(text: Column, wanted: tuple[str, ...] | None = None, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
     """map of type to struct(title, content, level); of several sections of a type the last one counts."""
-    every = sections(text, types)
-    if wanted is not None:
-        every = F.filter(every, lambda s: s["type"].isin(*wanted))
-    names = F.array_distinct(F.transform(every, lambda s: s["type"]))
 
-    def last(name: Column) -> Column:
+    def last(every: Column, name: Column) -> Column:
         s = F.element_at(F.filter(every, lambda s: s["type"] == name), -1)
-        return F.struct(s["title"].alias("title"), s["content"].alias("content"), s["level"].alias("level"))
+        return let(s, lambda s: F.struct(s["title"].alias("title"), s["content"].alias("content"), s["level"].alias("level")))
 
-    return F.map_from_arrays(names, F.transform(names, last))
+    def build(every: Column) -> Column:
+        names = F.array_distinct(F.transform(every, lambda s: s["type"]))
+        return F.map_from_arrays(names, F.transform(names, lambda name: last(every, name)))
+
+    every = sections(text, types)
+    return let(F.filter(every, lambda s: s["type"].isin(*wanted)) if wanted is not None else every, build)
 
 
 def missing_sections(found: Column, wanted: tuple[str, ...] = WANTED) -> Column:

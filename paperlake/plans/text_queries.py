@@ -283,7 +283,7 @@ _NORM = "trim(regexp_replace(regexp_replace({0}, '[ \\t]+', ' ', 'g'), '\\n[\\s\
 _CLASS = """CASE WHEN regexp_matches(lower({0}), '\\b(abstract|summary)\\b') THEN 'abstract'
   WHEN regexp_matches(lower({0}), '\\b(introduction|background|motivation)\\b') THEN 'introduction'
   WHEN regexp_matches(lower({0}), '\\b(conclusions?|final\\s+thoughts)\\b') THEN 'conclusion'"""
-_SLUG = "replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}\\p{{Cf}}\\s]', '_', 'g'), ' ', '_')"
+_SLUG = "replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}\\x1c-\\x1f\\x85]', '_', 'g'), ' ', '_')"
 # Sections of a paper one after another, each with its heading; n counts them in order.
 _PARTS = """
 one AS (SELECT DISTINCT ON (_id) * FROM papers),
@@ -299,27 +299,27 @@ whole AS (
 ), line AS (
   SELECT _id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM whole
 ), placed AS (
-  SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY _id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM line
+  SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY _id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM line
 ), head AS (
-  SELECT _id, text, at, trim(regexp_extract(trim(l), '^(?:[A-Z]|\\d+)(?:\\.\\d+)*\\s+((?:[A-Z]|\\d+)[A-Za-z\\s:-]+)$', 1)) AS title,
+  SELECT _id, text, pos, trim(regexp_extract(trim(l), '^(?:[A-Z]|\\d+)(?:\\.\\d+)*\\s+((?:[A-Z]|\\d+)[A-Za-z\\s:-]+)$', 1)) AS title,
          len(string_split(regexp_extract(trim(l), '^((?:[A-Z]|\\d+)(?:\\.\\d+)*)', 1), '.')) AS level
   FROM placed WHERE regexp_matches(trim(l), '^(?:[A-Z]|\\d+)(?:\\.\\d+)*\\s+(?:[A-Z]|\\d+)[A-Za-z\\s:-]+$')
 ), span AS (
-  SELECT *, lead(at, 1, length(text)) OVER (PARTITION BY _id ORDER BY at) AS until FROM head
+  SELECT *, lead(pos, 1, length(text)) OVER (PARTITION BY _id ORDER BY pos) AS until FROM head
 )"""
-_CUT = "trim(regexp_replace(trim(substr(text, CAST(at AS BIGINT) + 1, CAST(until - at AS BIGINT)), E' \\n\\t\\r'), '^[^\\n]*(\\n|$)', ''), E' \\n\\t\\r')"
+_CUT = "trim(regexp_replace(trim(substr(text, CAST(pos AS BIGINT) + 1, CAST(until - pos AS BIGINT)), E' \\n\\t\\r'), '^[^\\n]*(\\n|$)', ''), E' \\n\\t\\r')"
 _CANON = "replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(source_id)), '/+$', ''), '([^/]*)$', 1), '\\.pdf$', ''), '_', '-')"
 _SEED = "SELECT _id AS job_id, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS seed_no FROM (SELECT DISTINCT ON (_id) * FROM crawler_jobs)"
 _PAGE = "SELECT DISTINCT ON (_id) _id AS page_id, title, authors, pdf_url, year, venues, url FROM papers"
 
 SQL = {
     "q_flagship_read_model": f"""{_TEXT}, cut AS (
-        SELECT _id, at, {_CLASS.format("title")} END AS k, {_CUT} AS content FROM span
+        SELECT _id, pos, {_CLASS.format("title")} END AS k, {_CUT} AS content FROM span
       )
       SELECT p._id, p.title, p.authors, p.year, p.url,
-        (SELECT arg_max(content, at) FROM cut WHERE cut._id = p._id AND k = 'abstract') AS abstract,
-        (SELECT arg_max(content, at) FROM cut WHERE cut._id = p._id AND k = 'introduction') AS introduction,
-        (SELECT arg_max(content, at) FROM cut WHERE cut._id = p._id AND k = 'conclusion') AS conclusion
+        (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'abstract') AS abstract,
+        (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'introduction') AS introduction,
+        (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'conclusion') AS conclusion
       FROM one p""",
     "q_normalize_text": f"SELECT doc_id, {_NORM.format('text')} AS text FROM documents",
     "q_line_offsets": """WITH l AS (
@@ -330,9 +330,9 @@ SQL = {
       )
       SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_char, n_chars
       FROM m WHERE n_chars > 0""",
-    "q_find_headings": f"{_TEXT} SELECT DISTINCT _id AS paper_id, title, CAST(level AS INT) AS level, CAST(at AS INT) AS start_char FROM head",
-    "q_section_spans": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(at AS INT) AS start_char, CAST(until AS INT) AS end_char FROM span",
-    "q_section_content": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(at AS INT) AS start_char, {_CUT} AS content FROM span",
+    "q_find_headings": f"{_TEXT} SELECT DISTINCT _id AS paper_id, title, CAST(level AS INT) AS level, CAST(pos AS INT) AS start_char FROM head",
+    "q_section_spans": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(pos AS INT) AS start_char, CAST(until AS INT) AS end_char FROM span",
+    "q_section_content": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(pos AS INT) AS start_char, {_CUT} AS content FROM span",
     "q_classify_heading": f"""SELECT title, {_CLASS.format("title")} ELSE {_SLUG.format("title")} END AS section_type FROM (
         SELECT unnest(map_values(sections)).title AS title FROM papers UNION SELECT p_name FROM part)""",
     "q_heading_slug": f"SELECT DISTINCT title, {_SLUG.format('title')} AS slug FROM papers",
