@@ -144,6 +144,8 @@ def same_person(a: tuple, b: tuple) -> str | None:
         if one_slip(ga, gb):
             return "slip"
         return "short" if short_form(ga, gb) else None
+    if ga and ga == sb and sa == gb:
+        return "exact"
     # A slip in the surname: the rest is the same, and one of the spellings stands nowhere else.
     if ga and ga == gb and min(na, nb) == 1 and len(sa) > 4 and one_slip(sa, sb):
         return "slip"
@@ -226,7 +228,7 @@ def keyed_names(names: DataFrame) -> DataFrame:
         .otherwise(F.slice("words", F.lit(1), n - 1))
     )
     surname = F.coalesce(
-        "surname", F.when(n == 0, F.lit("")).when(F.col("swapped"), F.col("first")).otherwise(F.element_at("words", -1))
+        "surname", F.when(n == 0, F.array_join("initials", "")).when(F.col("swapped"), F.col("first")).otherwise(F.element_at("words", -1))
     )
     people = person.select(
         "name",
@@ -310,11 +312,12 @@ def linked_keys(named: DataFrame) -> tuple[DataFrame, DataFrame]:
         entries.alias("x")
         .join(entries.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") < F.col("y.key")))
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        # The key holds the fields; a pair of people shares the surname or the given name.
+        # The key holds the fields; a pair of people shares the surname or the given name, or has them swapped.
         .where(
             ~F.col("a").startswith("p|")
             | (F.split_part("a", F.lit("|"), F.lit(4)) == F.split_part("b", F.lit("|"), F.lit(4)))
             | (F.split_part("a", F.lit("|"), F.lit(2)) == F.split_part("b", F.lit("|"), F.lit(2)))
+            | (F.split_part("a", F.lit("|"), F.lit(2)) == F.split_part("b", F.lit("|"), F.lit(4)))
         )
         .distinct()
     )
@@ -349,8 +352,9 @@ def linked_keys(named: DataFrame) -> tuple[DataFrame, DataFrame]:
 def name_groups(names: DataFrame) -> DataFrame:
     """(name, group): every distinct name (column name) with the smallest key of the names it is linked to.
 
-    Null and blank names give no row; names that are equal as stored count
-    once; a name linked to no other has a group of its own.
+    Null and blank names, and names of titles and signs only, give no row;
+    names that are equal as stored count once; a name linked to no other has a
+    group of its own.
     """
     keyed, edges = linked_keys(keyed_names(names))
     groups = components(edges).select(F.col("node").alias("key"), "component")

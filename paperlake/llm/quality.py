@@ -21,7 +21,8 @@ EAST_STOP = re.compile("[。！？]")
 _DIGIT = re.compile(r"\d")
 _LINE_END = re.compile("[.!?…:;।॥。！？：；][\"'»”’“)\\]）」』]*\\s*$")
 _LIST_LINE = re.compile(
-    r"\s*(?:[-*•–—·▪◦o]\s+\S|[(\[]\s*\w{1,3}\s*[)\]]\s|\d{1,3}[.)](?!\d)\s|(?:\S+\s*[|&\t;]\s*){2,}|.*\.{4,}\s*\d*\s*$|[\w.\[\]]+ ?[-+*/]?= ?\S)"
+    r"\s*(?:[-*•–—·▪◦o]\s+\S|[(\[]\s*\w{1,3}\s*[)\]]\s|\d{1,3}[.)](?!\d)\s|(?:\S+\s*[|&\t;]\s*){2,}|.*\.{4,}\s*\d*\s*$|[\w.\[\]]+ ?[-+*/]?= ?\S"
+    r"|(?:for|if|elif|while|def|class)\b.*:$|return \w+$|[\w.]+\([^()]*\)$)"
 )
 
 # Thresholds of the combined rules.
@@ -111,7 +112,7 @@ def kind(s: tuple) -> str:
         if digits > 0.2:
             return "table"
         return "list" if natural or listed > 0.3 or symbols < 0.2 else "junk"
-    if listed > 0.6 and n_lines > 2 and common < 2 * LEAST_COMMON and not run:
+    if n_lines > 2 and not run and (listed > 0.6 and common < 2 * LEAST_COMMON or listed > 0.9 and symbols > 0.15):
         return "list"
     if n >= REPEATABLE and (dup_lines > MOST_REPEATED or bigram > MOST_REPEATED):
         return "repeated"
