@@ -31,6 +31,20 @@ def map_lists(df: DataFrame, rows: Callable[..., Iterator[tuple] | list[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the scan gave less than half of them a task, as with one small file.
+
+    A scan in more pieces is left alone, so nothing large is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, F.xxhash64(key)) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def documents(spark: SparkSession, data: str) -> DataFrame:
+    """(doc_id, text) of all documents."""
+    return spread(table(spark, data, "documents").select("doc_id", "text"), "doc_id")
+
+
 def sections(spark: SparkSession, data: str, *keys: str) -> DataFrame:
     """(paper_id, section_key, content) of every non-empty content, of the given keys or of all."""
     papers = table(spark, data, "papers")
@@ -46,4 +60,4 @@ def sections(spark: SparkSession, data: str, *keys: str) -> DataFrame:
         out = papers.select("_id", F.explode("sections").alias("section_key", "section")).select(
             "_id", "section_key", F.col("section")["content"].alias("content")
         )
-    return out.where(F.length("content") > 0).withColumnRenamed("_id", "paper_id")
+    return spread(out.where(F.length("content") > 0).withColumnRenamed("_id", "paper_id"), "paper_id")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.llm.inputs import documents
 from paperlake.llm.leaks import leaks
 from paperlake.session import table
 
 
 def p9_found(spark: SparkSession, data: str) -> DataFrame:
-    return leaks(table(spark, data, "documents"), table(spark, data, "eval_items"))
+    return leaks(documents(spark, data), table(spark, data, "eval_items"))
 
 
 def p9_leaked_items(spark: SparkSession, data: str) -> DataFrame:

@@ -22,7 +22,7 @@ _DIGIT = re.compile(r"\d")
 _LINE_END = re.compile("[.!?…:;।॥。！？：；][\"'»”’“)\\]）」』]*\\s*$")
 _LIST_LINE = re.compile(
     r"\s*(?:[-*•–—·▪◦o]\s+\S|[(\[]\s*\w{1,3}\s*[)\]]\s|\d{1,3}[.)](?!\d)\s|(?:\S+\s*[|&\t;]\s*){2,}|.*\.{4,}\s*\d*\s*$|[\w.\[\]]+ ?[-+*/]?= ?\S"
-    r"|(?:for|if|elif|while|def|class)\b.*:$|return \w+$|[\w.]+\([^()]*\)$)"
+    r"|.*\w ?[!<>+\-*/=]= ?\S|(?:for|if|elif|while|def|class)\b.*:$|return \w+$|[\w.]+\([^()]*\)$)"
 )
 
 # Thresholds of the combined rules.

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.llm.inputs import spread
 from paperlake.llm.scans import repaired_text, repairs
 from paperlake.session import table
 
 
 def pages(spark: SparkSession, data: str) -> DataFrame:
     """All contents with the title and authors of their paper."""
-    return (
+    contents = (
         table(spark, data, "papers")
         .select("_id", "title", "authors", F.explode("sections").alias("section_key", "section"))
         .select(F.col("_id").alias("paper_id"), "section_key", F.col("section")["content"].alias("content"), "title", "authors")
     )
+    return spread(contents, "paper_id")
 
 
 def p6_found(spark: SparkSession, data: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.llm.inputs import documents
 from paperlake.llm.packing import containers
 from paperlake.llm.tokens import pieces
-from paperlake.session import table
 
 
 def p8_containers(spark: SparkSession, data: str) -> DataFrame:
-    return containers(table(spark, data, "documents"))
+    return containers(documents(spark, data))
 
 
 def p8_fill(spark: SparkSession, data: str) -> DataFrame:
@@ -26,11 +26,11 @@ def p8_fill(spark: SparkSession, data: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, data: str) -> DataFrame:
-    return pieces(table(spark, data, "documents")).select("doc_id").distinct()
+    return pieces(documents(spark, data)).select("doc_id").distinct()
 
 
 def p10_pieces(spark: SparkSession, data: str) -> DataFrame:
-    return pieces(table(spark, data, "documents"), with_text=True)
+    return pieces(documents(spark, data), with_text=True)
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_pieces": p10_pieces}
