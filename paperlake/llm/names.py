@@ -27,6 +27,8 @@ LEAST_SUFFIX = 4
 #: Keys in a block from which its suffix is refined with one field more.
 COMMON_BLOCK = 100
 LEAST_RATIO = 0.8
+#: A surname in at most so many keys may be a misspelling of another one.
+RARE = 2
 
 # Words that come with a name and are no part of it.
 TITLES = frozenset("dr prof professor mr mrs ms mx sir phd md ed eds editor jr sr dipl ing msc bsc".split())
@@ -43,7 +45,7 @@ ORGANISATION_WORDS = frozenset(ORGANISATION.values()) | frozenset(
 # Short forms of given names that are neither beginning nor end of the full form.
 NICKNAMES = {
     "beppe": "giuseppe", "bill": "william", "bob": "robert", "dick": "richard", "dima": "dmitri", "hal": "henry",
-    "jack": "john", "jim": "james", "kate": "katherine", "katie": "katherine", "liz": "elizabeth", "maggie": "margaret",
+    "jack": "john", "jim": "james", "joe": "joseph", "joey": "joseph", "kate": "katherine", "katie": "katherine", "liz": "elizabeth", "maggie": "margaret",
     "meg": "margaret", "mike": "michael", "misha": "mikhail", "paco": "francisco", "peggy": "margaret", "sasha": "alexander",
     "ted": "theodore", "vova": "vladimir", "zhenya": "yevgenia", "ibro": "ibrahim", "ulla": "ursula", "lex": "alexander",
     "pepe": "jose", "nacho": "ignacio", "lola": "dolores", "kolya": "nikolai", "vanya": "ivan", "gosia": "malgorzata",
@@ -66,7 +68,13 @@ def parse(name: str) -> tuple[str, list[str], list[str], str | None]:
     text = _AFFIX.sub(" ", fold(name))
     words = _TOKEN.findall(text)
     plain = [ORGANISATION.get(w, w) for w in words]
-    if any(w in ORGANISATION_WORDS for w in plain) and len(words) > 1:
+    if len(words) > 1 and (
+        any(w in ORGANISATION_WORDS for w in plain)
+        # People rarely have four words, and three are needed before a misspelt word shows an organisation.
+        or len(words) > 2
+        and "," not in text
+        and any(len(w) > 5 and any(one_slip(w, o) for o in ORGANISATION_WORDS) for w in plain)
+    ):
         return "organisation", [w for w in plain if w not in SMALL_WORDS], [], None
     before, comma, after = text.partition(",")
     surname = None
@@ -146,8 +154,8 @@ def same_person(a: tuple, b: tuple) -> str | None:
         return "short" if short_form(ga, gb) else None
     if ga and ga == sb and sa == gb:
         return "exact"
-    # A slip in the surname: the rest is the same, and one of the spellings stands nowhere else.
-    if ga and ga == gb and min(na, nb) == 1 and len(sa) > 4 and one_slip(sa, sb):
+    # A slip in the surname: the rest is the same, and one of the spellings hardly stands elsewhere.
+    if ga and ga == gb and min(na, nb) <= RARE and len(sa) > 4 and one_slip(sa, sb):
         return "slip"
     return None
 

@@ -43,7 +43,7 @@ TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 PART = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-‐‑¬]$")
 _GOES_ON = re.compile(r"[\"'“„«(]*([^\W\d_][^\W_]*(?:-[^\W_]+)*)")
-_DIGIT_INSIDE = re.compile(r"(?<![\w.])[^\W\d_]*[a-zà-öø-ÿ][0-9][a-zà-öø-ÿ][^\W_]*|(?<![\w.\-])[^\W\d_]{3,}[0-9](?![\w.\-])")
+_DIGIT_INSIDE = re.compile(r"(?<![\w.])[^\W\d_]*[a-zà-öø-ÿ][0-9][a-zà-öø-ÿ][^\W_]*|(?<![\w.\-])[^\W\d_]{3,}[0-9](?![\w.\-])|(?<![\w.\-])[0-9][^\W\d_]{4,}")
 _PAGE_NUMBER = re.compile(
     r"(?:p[aà4]g[ec]|[ps]{1,2}\.|seite|стр\.?|с\.)?\s*N|\[\s*N\s*\]|\(\s*N\s*\)|[-–—]+\s*N\s*[-–—]+|N\s*/\s*N|[ivxl]{1,8}".replace(
         "N", r"(?=[oil]{0,3}\d)[\doil]{1,4}"
