@@ -18,14 +18,14 @@ BASE = "https://anthology.example"
 
 
 def _papers(spark: SparkSession, data: str) -> DataFrame:
-    """Papers without exact repeats, which share their _id."""
-    return table(spark, data, "papers").dropDuplicates(["_id"])
+    """All stored rows of papers; a paper stored twice is read twice."""
+    return table(spark, data, "papers")
 
 
 def _texts(spark: SparkSession, data: str) -> DataFrame:
-    """(paper_id, text): the text of every paper, normalised.  Repeats give the same text."""
+    """(paper_id, text): the text of every row of papers, normalised.  What is found in repeats is made distinct, not the texts."""
     papers = table(spark, data, "papers")
-    return papers.select(F.col("_id").alias("paper_id"), S.normalize(synthesised_text(F.col("sections"))).alias("text")).distinct()
+    return papers.select(F.col("_id").alias("paper_id"), S.normalize(synthesised_text(F.col("sections"))).alias("text"))
 
 
 def q_flagship_read_model(spark: SparkSession, data: str) -> DataFrame:
@@ -52,7 +52,7 @@ def q_line_offsets(spark: SparkSession, data: str) -> DataFrame:
 
 def q_find_headings(spark: SparkSession, data: str) -> DataFrame:
     found = _texts(spark, data).select("paper_id", F.explode(S.headings(F.col("text"))).alias("h"))
-    return found.select("paper_id", F.col("h.title").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start_char"))
+    return found.select("paper_id", F.col("h.title").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start_char")).distinct()
 
 
 def _sections(spark: SparkSession, data: str) -> DataFrame:
@@ -60,11 +60,11 @@ def _sections(spark: SparkSession, data: str) -> DataFrame:
 
 
 def q_section_spans(spark: SparkSession, data: str) -> DataFrame:
-    return _sections(spark, data).select("paper_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"))
+    return _sections(spark, data).select("paper_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char")).distinct()
 
 
 def q_section_content(spark: SparkSession, data: str) -> DataFrame:
-    return _sections(spark, data).select("paper_id", F.col("s.start").alias("start_char"), F.col("s.content").alias("content"))
+    return _sections(spark, data).select("paper_id", F.col("s.start").alias("start_char"), F.col("s.content").alias("content")).distinct()
 
 
 def q_classify_heading(spark: SparkSession, data: str) -> DataFrame:
@@ -83,7 +83,7 @@ def q_last_write_wins(spark: SparkSession, data: str) -> DataFrame:
     once = synthesised_text(F.col("sections"))
     text = S.normalize(F.concat(once, F.lit("\n7 Background\nagain\n8 Summary\nonce more\n")))
     m = papers.select(F.col("_id").alias("paper_id"), S.section_map(text, S.WANTED).alias("m"))
-    return m.select("paper_id", F.explode("m").alias("section_type", "s")).select("paper_id", "section_type", "s.title", "s.level")
+    return m.select("paper_id", F.explode("m").alias("section_type", "s")).select("paper_id", "section_type", "s.title", "s.level").distinct()
 
 
 def q_section_whitelist(spark: SparkSession, data: str) -> DataFrame:
@@ -261,7 +261,7 @@ def q_union_seeds(spark: SparkSession, data: str) -> DataFrame:
 
 
 def q_slice_before_filter(spark: SparkSession, data: str) -> DataFrame:
-    papers = _papers(spark, data).where(F.col("job_id").isNotNull()).select("_id", "job_id", "pdf_url")
+    papers = _papers(spark, data).where(F.col("job_id").isNotNull()).select("_id", "job_id", "pdf_url").distinct()
     kept = C.slice_then_filter(papers, "job_id", ("_id",), 5, F.coalesce(F.col("pdf_url").endswith(".pdf"), F.lit(False)))
     return kept.select("job_id", "_id")
 
@@ -310,7 +310,7 @@ whole AS (
 _CUT = "trim(regexp_replace(trim(substr(text, CAST(pos AS BIGINT) + 1, CAST(until - pos AS BIGINT)), E' \\n\\t\\r'), '^[^\\n]*(\\n|$)', ''), E' \\n\\t\\r')"
 _CANON = "replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(source_id)), '/+$', ''), '([^/]*)$', 1), '\\.pdf$', ''), '_', '-')"
 _SEED = "SELECT _id AS job_id, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS seed_no FROM (SELECT DISTINCT ON (_id) * FROM crawler_jobs)"
-_PAGE = "SELECT DISTINCT ON (_id) _id AS page_id, title, authors, pdf_url, year, venues, url FROM papers"
+_PAGE = "SELECT _id AS page_id, title, authors, pdf_url, year, venues, url FROM papers"
 
 SQL = {
     "q_flagship_read_model": f"""{_TEXT}, cut AS (
@@ -320,7 +320,7 @@ SQL = {
         (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'abstract') AS abstract,
         (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'introduction') AS introduction,
         (SELECT arg_max(content, pos) FROM cut WHERE cut._id = p._id AND k = 'conclusion') AS conclusion
-      FROM one p""",
+      FROM papers p""",
     "q_normalize_text": f"SELECT doc_id, {_NORM.format('text')} AS text FROM documents",
     "q_line_offsets": """WITH l AS (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i,
@@ -341,11 +341,11 @@ SQL = {
       UNION ALL SELECT _id, 'abstract', 'Summary', 1 FROM one
       UNION ALL SELECT _id, 'conclusion', t, 1 FROM part WHERE k = 'conclusion'""",
     "q_section_whitelist": """SELECT _id AS paper_id, list_sort(list_filter(map_keys(sections), lambda k: k IN ('abstract', 'conclusion'))) AS kept
-      FROM (SELECT DISTINCT ON (_id) * FROM papers)""",
+      FROM papers""",
     "q_missing_sections": """SELECT _id AS paper_id, list_filter(['abstract', 'conclusion', 'introduction'],
-      lambda k: NOT list_contains(map_keys(sections), k)) AS missing FROM (SELECT DISTINCT ON (_id) * FROM papers)""",
+      lambda k: NOT list_contains(map_keys(sections), k)) AS missing FROM papers""",
     "q_text_concat": """WITH o AS (SELECT DISTINCT ON (_id) * FROM papers), s AS (SELECT _id, unnest(map_entries(sections)) AS e FROM o)
-      SELECT o._id AS paper_id, coalesce((SELECT string_agg(coalesce(e.value.content, '') || chr(10), '' ORDER BY e.key) FROM s WHERE s._id = o._id), '') AS text FROM o""",
+      SELECT p._id AS paper_id, coalesce((SELECT string_agg(coalesce(e.value.content, '') || chr(10), '' ORDER BY e.key) FROM s WHERE s._id = p._id), '') AS text FROM papers p""",
     "q_url_route": f"""SELECT url, CASE WHEN contains(url, '/events/') OR contains(url, '/volumes/') THEN 'conference'
       WHEN contains(url, '/search/') THEN 'search' ELSE 'paper' END AS route
       FROM (SELECT url FROM ({_SEED}) UNION SELECT url FROM papers WHERE url IS NOT NULL)""",
@@ -357,7 +357,7 @@ SQL = {
     "q_search_url": f"SELECT DISTINCT query, '{BASE}/search/?q=' || replace(query, ' ', '+') AS url FROM crawler_jobs WHERE query IS NOT NULL",
     "q_derived_paths": f"SELECT DISTINCT source_id, '{BASE}/' || source_id AS url, 'crawled_papers/' || source_id || '.pdf' AS path FROM papers",
     "q_split_venues": """SELECT _id AS paper_id, CASE WHEN array_to_string(venues, '|') = '' OR venues IS NULL THEN [] ELSE string_split(array_to_string(venues, '|'), '|') END AS venues
-      FROM (SELECT DISTINCT ON (_id) * FROM papers)""",
+      FROM papers""",
     "q_try_year": "SELECT DISTINCT source_id, TRY_CAST(nullif(trim(string_split(source_id, '.')[1]), '') AS INT) AS year FROM papers",
     "q_mask_uri": """SELECT c_custkey, 'mongodb://' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '***:***@' END || 'db:27017/papers' AS uri FROM customer""",
     "q_html_title": f"SELECT page_id, title FROM ({_PAGE})",
