@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Patterns of headings and section types, headings that count without a number.
 NUMBERED = r"(?U)^((?:[A-Z]|\d+)(?:\.\d+)*)\s+((?:[A-Z]|\d+)[A-Za-z\s\-:]+)$"
 TITLE_CASE = r"(?U)^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})$"
+#: Every heading matches this, and few other lines do; it needs one pass without Unicode classes.
+MAYBE = r"^[\s\x1c-\x1f\x85\p{Z}]*[A-Z\p{Nd}][A-Za-z\p{Nd}.\-:\s\x1c-\x1f\x85\p{Z}]*$"
 UNNUMBERED = (
     "abstract", "limitations", "ethics statement", "ethical statement", "ethical considerations", "acknowledgement",
     "acknowledgements", "references",
@@ -60,9 +62,7 @@ def heading(line: Column) -> Column:
         strip(F.regexp_extract(line, NUMBERED, 2)).alias("title"), F.size(F.split(number, r"\.")).cast("int").alias("level")
     )
     plain = F.struct(line.alias("title"), F.lit(1).cast("int").alias("level"))
-    # Most lines end in a mark or begin in lower case, which rules both patterns out cheaply.
-    may = line.rlike(r"^[A-Z0-9].*[A-Za-z0-9\-:]$")
-    return F.when(may & line.rlike(NUMBERED), numbered).when(may & line.rlike(TITLE_CASE) & F.lower(line).isin(*UNNUMBERED), plain)
+    return F.when(line.rlike(NUMBERED), numbered).when(line.rlike(TITLE_CASE) & F.lower(line).isin(*UNNUMBERED), plain)
 
 
 def headings(text: Column) -> Column:
@@ -77,7 +77,8 @@ def headings(text: Column) -> Column:
         )
 
     def step(state: Column, line: Column) -> Column:
-        return let(strip(line), lambda bare: let(heading(bare), lambda found: add(state, line, found)))
+        found = F.when(line.rlike(MAYBE), let(strip(line), heading))
+        return let(found, lambda found: add(state, line, found))
 
     start = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("found"))
     return F.aggregate(lines(text), start, step, lambda s: s["found"])
@@ -101,7 +102,7 @@ def slug(title: Column) -> Column:
 def sections(text: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
     """All sections of a normalised text, in order.  Texts without headings, empty and null texts have none."""
 
-    def one(found: Column, h: Column, i: Column) -> Column:
+    def one(text: Column, found: Column, h: Column, i: Column) -> Column:
         end = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
         body = strip(F.substring(text, h["start"] + 1, end - h["start"]))
         return F.struct(
@@ -113,8 +114,10 @@ def sections(text: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) ->
             end.cast("int").alias("end"),
         )
 
-    every = let(headings(text), lambda found: F.transform(found, lambda h, i: one(found, h, i)))
-    return F.coalesce(every, F.array().cast(SECTION))
+    def all_of(text: Column) -> Column:
+        return let(headings(text), lambda found: F.transform(found, lambda h, i: one(text, found, h, i)))
+
+    return F.coalesce(let(text, all_of), F.array().cast(SECTION))
 
 
 def section_map(text: Column, wanted: tuple[str, ...] | None = None, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
