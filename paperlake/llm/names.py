@@ -3,9 +3,9 @@
 Names are brought to one form of writing, parsed into given names, initials and
 surname (or the words of an organisation), and reduced to distinct keys.  Keys
 meet by suffix blocking: every suffix of a word, from a least length on, is an
-index entry.  A suffix that too many keys share is not discarded but refined,
-step by step, with other fields: first letters of the given name, then of the
-surname.  Keys that share an entry are compared by the ratio of their longest
+index entry.  A suffix that too many keys share is not discarded but refined
+with the other fields, by several entries per key: one for each way in which
+two keys may name one person.  Keys that share an entry are compared by the ratio of their longest
 common subsequence; what the ratio can't tell is decided by how the corpus uses
 the words.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm.glyphs import repair
@@ -24,11 +24,12 @@ from paperlake.llm.inputs import map_lists
 from paperlake.session import cut
 
 LEAST_SUFFIX = 4
-#: Keys in a block from which its suffix is refined with one field more.
+#: Keys in a block from which its suffix is refined with the other fields.
 COMMON_BLOCK = 100
 LEAST_RATIO = 0.8
-#: A surname in at most so many keys may be a misspelling of another one.
+#: A surname in at most so many keys, or in this share of the keys of the other, may be a misspelling of it.
 RARE = 2
+RARE_SHARE = 0.1
 
 # Words that come with a name and are no part of it.
 TITLES = frozenset("dr prof professor mr mrs ms mx sir phd md ed eds editor jr sr dipl ing msc bsc".split())
@@ -154,8 +155,9 @@ def same_person(a: tuple, b: tuple) -> str | None:
         return "short" if short_form(ga, gb) else None
     if ga and ga == sb and sa == gb:
         return "exact"
-    # A slip in the surname: the rest is the same, and one of the spellings hardly stands elsewhere.
-    if ga and ga == gb and min(na, nb) <= RARE and len(sa) > 4 and one_slip(sa, sb):
+    # A slip in the surname: the rest is the same, and one of the spellings hardly stands elsewhere,
+    # or seldom for how often the other does.
+    if ga and ga == gb and min(na, nb) <= max(RARE, RARE_SHARE * max(na, nb)) and len(sa) > 4 and one_slip(sa, sb):
         return "slip"
     return None
 
@@ -259,45 +261,97 @@ def _suffixes(word) -> F.Column:
     return F.transform(cuts, lambda i: F.substr(word, i))
 
 
+def _slips(word) -> Column:
+    """A word and what is left of it without one of its letters: two words that differ by one slip share one of these."""
+    n = F.length(word)
+    return F.array_append(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))), word
+    )
+
+
+def _parts(sign: str, word, ends: Column) -> Column:
+    """Blocks of a sign, a fixed word and each of an array of other words."""
+    return F.transform(ends, lambda x: F.concat_ws("|", F.lit(sign), word, x))
+
+
+def _exact_entries(keys: DataFrame, big: DataFrame) -> DataFrame:
+    """(key, block, side): entries by which all pairs that may be linked meet, whose common words make blocks too big.
+
+    There is one sign for each way of same_person and same_organisation.  Keys
+    of side 0 meet each other; one of side 1, a short form or initials, meets
+    those of side 2 it may stand for, so that many full names of one surname
+    don't meet each other for it.
+    """
+    word = F.substring_index("block", "|", -1)
+    people = (
+        keys.where(F.col("kind") == "person")
+        .join(big.where(F.col("block").startswith("p|")).select(word.alias("surname"), F.lit(True).alias("big_surname")), "surname", "left")
+        .join(big.where(F.col("block").startswith("p|")).select(word.alias("given"), F.lit(True).alias("big_given")), "given", "left")
+        .where(F.col("big_surname") | F.col("big_given"))
+    )
+    none = F.array().cast("array<string>")
+    given, surname, n = F.col("given"), F.col("surname"), F.length("given")
+    full = n > 0
+    nicknames = F.create_map(*(F.lit(x) for pair in NICKNAMES.items() for x in pair))
+    names = F.concat(
+        _slips(given), F.array(F.substring_index(given, "-", 1), F.replace(given, F.lit("-"), F.lit("")), F.coalesce(F.try_element_at(nicknames, given), given))
+    )
+    ends = F.sequence(F.lit(3), F.greatest(F.lit(3), n))
+    stem = F.when((n > 3) & F.substring(given, -1, 1).isin("i", "e", "y"), F.expr("left(given, length(given) - 1)")).otherwise(given)
+    letter = F.substring(F.concat(given, "initials"), 1, 1)
+    of_surname = lambda x: F.when(F.col("big_surname") & x, True).otherwise(False)
+    both = F.concat(
+        F.when(of_surname(full), _parts("g", surname, names)).otherwise(none),
+        F.when(F.col("big_given") & full, _parts("s", given, _slips(surname))).otherwise(none),
+        F.when(full, F.array(F.concat_ws("|", F.lit("w"), F.least(given, surname), F.greatest(given, surname)))).otherwise(none),
+    )
+    short = F.concat(
+        F.when(of_surname(n >= 3), F.array(F.concat_ws("|", F.lit("b"), surname, stem), F.concat_ws("|", F.lit("e"), surname, given))).otherwise(none),
+        F.when(of_surname(~full), F.array(F.concat_ws("|", F.lit("i"), surname, letter))).otherwise(none),
+    )
+    long = F.concat(
+        F.when(of_surname(n > 4), _parts("b", surname, F.transform(ends, lambda i: F.substr(given, F.lit(1), i)))).otherwise(none),
+        F.when(of_surname(n > 4), _parts("e", surname, F.transform(ends, lambda i: F.substr(given, n - i + 1, i)))).otherwise(none),
+        F.when(of_surname(F.lit(True)), _parts("i", surname, F.array(letter, F.lit("")))).otherwise(none),
+    )
+    groups = keys.where(F.col("kind") == "organisation").join(big.where(F.col("block").startswith("o|")).select("key").distinct(), "key", "left_semi")
+    # Equal and abbreviated words begin alike; the one word with a slip is told by its slips.
+    begins = lambda words: F.array_join(F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 3))), " ")
+    words = F.col("words")
+    rest = lambda i: F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
+    of_group = F.array_append(
+        F.flatten(F.transform(words, lambda w, i: F.transform(_slips(w), lambda v: F.concat_ws("|", F.lit("o"), begins(rest(i)), v)))),
+        F.concat_ws("|", F.lit("o"), begins(words)),
+    )
+    sided = lambda blocks, side: F.transform(blocks, lambda x: F.struct(x.alias("block"), F.lit(side).alias("side")))
+    entries = people.select("key", F.explode(F.concat(sided(both, 0), sided(short, 1), sided(long, 2))).alias("e")).unionByName(
+        groups.select("key", F.explode(sided(of_group, 0)).alias("e"))
+    )
+    return entries.select("key", F.concat(F.lit("="), "e.block").alias("block"), "e.side").distinct()
+
+
 def blocks(keys: DataFrame) -> DataFrame:
-    """(key, block): the index entries of every key, common ones refined with other fields."""
+    """(key, block, side): the index entries of every key; side is 0 but for short and full names, see _exact_entries.
+
+    A block of more than COMMON_BLOCK keys is divided by all the ways in which
+    two of its keys may name one person or organisation.
+    """
     word = F.explode(F.when(F.col("kind") == "person", F.array("given", "surname")).otherwise(F.col("words"))).alias("word")
-    entries = (
-        keys.select("key", "kind", "given", "initials", "surname", "words", word)
+    entries = cut(
+        keys.select("key", "kind", word)
         .where(F.length("word") > 1)
-        .select(
-            "key",
-            F.explode(_suffixes(F.col("word"))).alias("suffix"),
-            "kind",
-            F.substring(F.concat("given", "initials"), 1, 1).alias("first"),
-            "given",
-            # The word of an organisation that begins like no other is not known here; the longest stands for it.
-            F.when(F.col("kind") == "person", F.col("surname"))
-            .otherwise(F.array_max(F.transform("words", lambda w: F.concat(F.lpad(F.length(w).cast("string"), 3, "0"), w))))
-            .alias("other"),
-        )
-        .withColumn("block", F.concat_ws("|", F.substring("kind", 1, 1), "suffix"))
+        .select("key", F.explode(_suffixes(F.col("word"))).alias("suffix"), "kind")
+        .select("key", F.concat_ws("|", F.substring("kind", 1, 1), "suffix").alias("block"))
         .distinct()
     )
-    person = F.col("kind") == "person"
-    refinements = (
-        F.concat_ws("|", "block", F.when(person, F.col("first")).otherwise(F.substring("other", 4, 2))),
-        F.concat_ws("|", "block", F.when(person, F.substring("other", 1, 2)).otherwise(F.substring("other", 6, 2))),
-        F.concat_ws("|", "block", F.when(person, F.substring("other", 3, 2)).otherwise(F.substring("other", 1, 3))),
-        F.concat_ws("|", "block", F.substring("given", 1, 4)),
+    size = entries.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    sized = entries.join(size, "block")
+    done = sized.where(F.col("size") <= COMMON_BLOCK).select("key", "block", F.lit(0).alias("side"))
+    common = size.where(F.col("size") > COMMON_BLOCK).select("block")
+    big = common.where(F.col("block").startswith("p|")).select(F.lit("").alias("key"), "block").unionByName(
+        entries.where(F.col("block").startswith("o|")).join(common, "block").select("key", "block")
     )
-    out, todo = None, entries
-    for refined in (*refinements, None):
-        if refined is None:
-            done = todo.select("key", "block")
-        else:
-            todo = cut(todo)
-            size = todo.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-            sized = todo.join(size, "block")
-            done = sized.where(F.col("size").between(2, COMMON_BLOCK)).select("key", "block")
-            todo = sized.where(F.col("size") > COMMON_BLOCK).drop("size").withColumn("block", refined)
-        out = done if out is None else out.unionByName(done)
-    return out
+    return done.unionByName(_exact_entries(keys, big))
 
 
 def linked_keys(named: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,10 +370,17 @@ def linked_keys(named: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("key", "kind", "given", "initials", "surname", "words", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("known", F.lit(False)).alias("known"))
     )
     entries = cut(blocks(keys))
+    alike = entries.where(F.col("side") == 0)
+    short, long = entries.where(F.col("side") == 1), entries.where(F.col("side") == 2)
     pairs = (
-        entries.alias("x")
-        .join(entries.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") < F.col("y.key")))
+        alike.alias("x")
+        .join(alike.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") < F.col("y.key")))
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        .unionByName(
+            short.alias("x")
+            .join(long.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") != F.col("y.key")))
+            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        )
         # The key holds the fields; a pair of people shares the surname or the given name, or has them swapped.
         .where(
             ~F.col("a").startswith("p|")

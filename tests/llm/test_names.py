@@ -40,6 +40,30 @@ def test_refined_blocks_lose_nothing(spark, monkeypatch):
     assert grouped(spark, PEOPLE) == expected
 
 
+def test_common_surname_keeps_every_variant(spark):
+    """Spellings whose given names begin differently meet although the surname has more than COMMON_BLOCK keys."""
+    letters = "bcdfghklmnprstvz"
+    others = [[f"Ostrander, {a.upper()}u{b}o{c}ax"] for a in letters for b in letters[:4] for c in letters[:3]]
+    variants = [["Ostrander, William", "Ostrander, Bill"], ["Ostrander, Nikolai", "Ostrander, Kolya"], ["Ostrander, Elisabet", "Ostrander, Wlisabet"]]
+    assert len(others) > N.COMMON_BLOCK
+    got = grouped(spark, others + variants)
+    for v in variants:
+        assert sorted(v) in got
+
+
+def test_common_word_keeps_every_organisation(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMMON_BLOCK", 3)
+    places = [[f"{a} Speech Processing Laboratory"] for a in ("Ardal", "Corvin", "Tolvik", "Mesto", "Pryden")]
+    variants = [["Brendal Speech Processing Laboratory", "Brendal Speech Prcoessing Lab", "Brendal Speech Proc. Lab"]]
+    assert sorted(variants[0]) in grouped(spark, places + variants)
+
+
+def test_misspelt_surname_may_have_several_given_names():
+    frequent, seldom = ("jonas", "", "vinterberg", 80, True), ("jonas", "", "vinterbreg", 5, True)
+    assert N.same_person(frequent, seldom) == "slip"
+    assert N.same_person(("jonas", "", "vinterberg", 8, True), seldom) is None
+
+
 def test_pairs(spark):
     groups = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2)], "name string, group int")
     assert sorted(tuple(r) for r in N.variant_pairs(groups).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
