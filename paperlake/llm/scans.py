@@ -43,7 +43,9 @@ TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 PART = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-‐‑¬]$")
 _GOES_ON = re.compile(r"[\"'“„«(]*([^\W\d_][^\W_]*(?:-[^\W_]+)*)")
-_DIGIT_INSIDE = re.compile(r"(?<![\w.])[^\W\d_]*[a-zà-öø-ÿ][0-9][a-zà-öø-ÿ][^\W_]*|(?<![\w.\-])[^\W\d_]{3,}[0-9](?![\w.\-])|(?<![\w.\-])[0-9][^\W\d_]{4,}")
+_DIGIT_INSIDE = re.compile(r"(?<![\w.])[^\W\d_]*[a-zà-öø-ÿ][0-9][a-zà-öø-ÿ][^\W_]*|(?<![\w.\-])(?:(?![\u0e00-\u0e7f\u3040-ヿ㐀-鿿豈-\ufaff])[^\W\d_]){3,}[0-9](?![\w.\-])|(?<![\w.\-])[0-9][^\W\d_]{4,}")
+# A version such as v5.3 is no word.
+_VERSION = re.compile(r"(?<![^\W_])[^\W\d_][0-9]+(?=\.[0-9])")
 _PAGE_NUMBER = re.compile(
     r"(?:p[aà4]g[ec]|[ps]{1,2}\.|seite|стр\.?|с\.)?\s*N|\[\s*N\s*\]|\(\s*N\s*\)|[-–—]+\s*N\s*[-–—]+|N\s*/\s*N|[ivxl]{1,8}".replace(
         "N", r"(?=[oil]{0,3}\d)[\doil]{1,4}"
@@ -146,16 +148,8 @@ def breaks(lines: list[str], dropped: set[int]) -> list[tuple[int, int, str, str
     return out
 
 
-def is_wrapped(lines: list[str]) -> bool:
-    """True if the lines look cut to a width, as lines of a page are."""
-    full = [x for x in lines if x.strip()]
-    if len(full) < 3 or max(map(len, full)) > 110:
-        return False
-    return sum(1 for x in full if x.rstrip()[-1:] not in ".!?”\"“»)।。") * 2 > len(full)
-
-
 class Counts:
-    """Words of many contents: in one piece, broken at line ends, and on lines cut to a width."""
+    """Words of many contents: in one piece, broken at line ends, and on the lines of prose with line breaks."""
 
     def __init__(self) -> None:
         self.whole: Counter = Counter()
@@ -184,7 +178,8 @@ def read_content(content: str, title: str | None, authors: list[str] | None, cou
     with and without its hyphen.  broken: the same word, to be looked up among
     the misread ones; other holds the number of the next line and the length
     of the first part.  words: the other words of the line.  chars: a digit
-    inside a word.  Contents that are no prose only count their words.
+    inside a word.  Contents that are no prose, or have no line
+    break, only count their words.
     """
     if "\n" not in content:
         counts.add(TOKEN.findall(content.lower()), False)
@@ -192,7 +187,7 @@ def read_content(content: str, title: str | None, authors: list[str] | None, cou
     lines = content.split("\n")
     dropped = dropped_lines(lines, title, authors)
     cuts = breaks(lines, dropped)
-    if not (dropped or cuts or is_wrapped(lines)) or kind(statistics(content)) != "prose":
+    if kind(statistics(content)) != "prose":
         counts.add(TOKEN.findall(content.lower()), False)
         return []
     out: list[tuple] = [(i, "drop", None, None, None) for i in sorted(dropped)]
@@ -216,6 +211,7 @@ def read_content(content: str, title: str | None, authors: list[str] | None, cou
         tokens = TOKEN.findall(line.lower())
         counts.add(tokens, True)
         words = {w for t in tokens for w in t.split("-") if len(w) > 1 and not w.isdigit()}
+        words.difference_update(_VERSION.findall(line.lower()))
         if words:
             out.append((i, "words", None, None, list(words)))
     return out
@@ -274,7 +270,7 @@ def _explains(rare: str, frequent: str, wrong: str, right: str) -> int:
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """(word, correct, at): the best correction of every misrecognised word on lines cut to a width.
+    """(word, correct, at): the best correction of every misrecognised word on the lines of prose with line breaks.
 
     A word of two letters is corrected only if it holds a digit.  Among several
     variants the most frequent one wins, then the first by code point.

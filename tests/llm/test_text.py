@@ -138,6 +138,16 @@ def test_scanned_page(spark):
     assert P.repairs(pages(spark).limit(0)).count() == 0
 
 
+def test_lines_that_end_sentences_are_read_too():
+    """Half of the lines, or both of two, end in a full stop; misread words and digits are looked up all the same."""
+    for lines in (["It is the systerne of the text.", "The m5del of all that we have is it."], ["We use the systerne", "of the text.", "The m5del of it is", "in the text."]):
+        rows = P.read_content("\n".join(lines), None, None, P.Counts())
+        assert any(what == "words" and "systerne" in words for _, what, _, _, words in rows)
+        assert any(what == "chars" for _, what, *_ in rows)
+    rows = P.read_content("审稿人写道：“摘要很好。”模型（见附录2）尚未公开。\n比NefiParse v5.1高5.7分。为什么自然的表示如此重要？", None, None, P.Counts())
+    assert not any(what == "chars" or "v5" in (words or ()) for _, what, _, _, words in rows)
+
+
 def test_anagram_differences(spark):
     df = spark.createDataFrame([("sentirnent",), ("sentiment",), ("งานวิจัยนี้มีตัวอย่างมากมายหลายหลาก" * 4,), ("",)], "w string")
     h = [r[0] for r in df.select(P.anagram_hash(F.col("w"))).collect()]
