@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm.inputs import map_lists
-from paperlake.llm.words import WORDS
+from paperlake.llm.words import UNSPACED, WORDS
 
 #: The folder of the public tokenizers' files; another one may be given to every operator.
 TOKENIZERS = os.environ.get("PAPERLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +34,7 @@ _BOUNDARY = re.compile(
     r"(?<=\S)(?=\n)|(?<=[.!?…])[\"'”’»)\]]*(?=\s)|(?<=[。！？।॥])[”’」』）】]*(?=[^\s”’」』）】])|(?<=[\u0e00-\u0e7f])(?=\s+[\u0e00-\u0e7f])"
 )
 _WHITE = re.compile(r"(?<=\S)\s")
+_UNSPACED_RUN = re.compile(f"({UNSPACED.pattern}+)")
 
 @lru_cache(maxsize=4)
 def encoding(folder: str = TOKENIZERS):
@@ -61,6 +62,21 @@ def boundaries(text: str) -> list[int]:
     return [m.end() for m in _BOUNDARY.finditer(text) if 0 < m.end() < len(text)]
 
 
+def terms(text: str) -> list[str]:
+    """What a unit of text is compared by: its words of four letters or more, and the character pairs of scripts without spaces."""
+    words = WORDS.findall(text.lower())
+    if text.isascii() or not UNSPACED.search(text):
+        return [w for w in words if len(w) > 3]
+    out = []
+    for word in words:
+        for i, run in enumerate(_UNSPACED_RUN.split(word)):
+            if i % 2:
+                out += [run[j : j + 2] for j in range(len(run) - 1)] or [run]
+            elif len(run) > 3:
+                out.append(run)
+    return out
+
+
 def valley(words: list[list[str]], first: int, last: int) -> int:
     """The gap g, first <= g <= last, where the words before and after differ most; the last of equals.
 
@@ -175,7 +191,7 @@ def cut(
     words: list[list[str]] = []
     if cohesive:
         for a, b in zip([0, *places], [*places, len(text)]):
-            words.append([w for w in WORDS.findall(text[a:b].lower()) if len(w) > 3])
+            words.append(terms(text[a:b]))
     out: list[tuple[int, int, int, int]] = []
     own = 0
     while own < len(text):

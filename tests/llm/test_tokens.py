@@ -73,6 +73,16 @@ def test_leaks_of_empty_tables(spark):
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
 
 
+def test_topic_boundary_without_spaces():
+    """Sentences of one topic share no whole clause, but their character pairs; the valley lies where the topic changes."""
+    random.seed(8)
+    topics = [["语言模型", "训练数据", "句法分析"], ["天气预报", "海洋温度", "降雨变化"]]
+    units = ["".join(random.sample(topic, 2)) + chr(0x4E00 + 7 * n + 900 * i) + random.choice(topic) + "。" for i, topic in enumerate(topics) for n in range(10)]
+    words = [T.terms(u) for u in units]
+    assert T.valley(words, 4, 16) == 10
+    assert T.terms("The LexTag of it") == ["lextag"] and T.terms("与LexTag不同") == ["与", "lextag", "不同"]
+
+
 def check_pieces(text, capacity, overlap):
     parts = T.cut(text, capacity, overlap)
     assert "".join(text[own:end] for _, own, end, _ in parts) == text
