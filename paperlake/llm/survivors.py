@@ -16,87 +16,140 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.llm.inputs import map_lists
 from paperlake.session import cut
 
-#: Values aligned at once; a group with more is reduced bucket by bucket.
+#: Values aligned at once; a group with more is aligned bucket by bucket.
 BUCKET = 64
 _TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
 
 
-def consensus(values: list[tuple[str, float]]) -> list[str]:
-    """Tokens that the weighted values agree on, by progressive alignment."""
-    columns: list[Counter] = []
-    total = 0.0
-    for text, weight in sorted(values, key=lambda v: (-v[1], v[0])):
-        tokens = _TOKEN.findall(text)
-        if not columns:
-            columns = [Counter({t: weight}) for t in tokens]
-            total = weight
-            continue
-        current = [max(c.items(), key=lambda x: (x[1], x[0]))[0] for c in columns]
-        merged: list[Counter] = []
-        for what, a, b, x, y in SequenceMatcher(None, current, tokens, autojunk=False).get_opcodes():
-            width = max(b - a, y - x)
-            for i in range(width):
-                column = columns[a + i] if a + i < b else Counter({"": total})
-                column[tokens[x + i] if x + i < y else ""] += weight
-                merged.append(column)
-        columns = merged
+def merged(columns: list[Counter], total: float, others: list[Counter], other_total: float) -> list[Counter]:
+    """The column votes of two sets of values, aligned by their heaviest tokens."""
+    current, tokens = ([max(c.items(), key=lambda x: (x[1], x[0]))[0] for c in x] for x in (columns, others))
+    out: list[Counter] = []
+    for _, a, b, x, y in SequenceMatcher(None, current, tokens, autojunk=False).get_opcodes():
+        for i in range(max(b - a, y - x)):
+            column = columns[a + i] if a + i < b else Counter({"": total})
+            for token, weight in (others[x + i] if x + i < y else {"": other_total}).items():
+                column[token] += weight
+            out.append(column)
+    return out
+
+
+def column_votes(profiles: list[tuple[list[Counter], float]]) -> tuple[list[Counter], float]:
+    """The column votes of all profiles, aligned in their order."""
+    columns, total = profiles[0]
+    for others, weight in profiles[1:]:
+        columns = merged(columns, total, others, weight)
         total += weight
+    return columns, total
+
+
+def profiles_of(values: list[tuple[str, float]]) -> list[tuple[list[Counter], float]]:
+    return [([Counter({t: w}) for t in _TOKEN.findall(v)], w) for v, w in sorted(values, key=lambda v: (-v[1], v[0]))]
+
+
+def heaviest(columns: list[Counter]) -> list[str]:
     chosen = (max(c.items(), key=lambda x: (x[1], x[0] != "", x[0]))[0] for c in columns)
     return [t for t in chosen if t]
 
 
+def consensus(values: list[tuple[str, float]]) -> list[str]:
+    """Tokens that the weighted values agree on, by progressive alignment."""
+    return heaviest(column_votes(profiles_of(values))[0])
+
+
+def likeness(value: str, wanted: list[str]) -> float:
+    return SequenceMatcher(None, _TOKEN.findall(value), wanted, autojunk=False).ratio()
+
+
 def closest(values: list[tuple[str, float]]) -> str:
     """The existing value closest to the consensus; among equals the heavier, then the first by code point."""
     if len(values) == 1:
         return values[0][0]
     wanted = consensus(values)
-    score = {v: SequenceMatcher(None, _TOKEN.findall(v), wanted, autojunk=False).ratio() for v, _ in values}
+    score = {v: likeness(v, wanted) for v, _ in values}
     return min(values, key=lambda v: (-score[v[0]], -v[1], v[0]))[0]
 
 
-def consensus_values(votes: DataFrame) -> DataFrame:
-    """(group, value): the surviving value of every group of `votes` (group, value, weight).
+_PROFILE = "group string, part bigint, total double, columns array<struct<tokens:array<string>,weights:array<double>>>"
 
-    Weights of equal values are added up before anything is gathered.  A group
-    with more than BUCKET different values is reduced in rounds: each bucket
-    passes on its survivor with the weight it has.  Null values
-    don't vote; a group of nulls gives no row.
+
+def _profile_row(group: str, part: int, columns: list[Counter], total: float) -> tuple:
+    return group, part, total, [{"tokens": list(c), "weights": list(c.values())} for c in columns]
+
+
+def _large_groups(votes: DataFrame) -> DataFrame:
+    """(group, value) for groups (group, value, weight, n) of too many values to be aligned at once.
+
+    Every bucket of values passes on all its column votes; these are merged in
+    rounds, and each value of the group is compared with the consensus.
     """
-    votes = votes.where(F.col("value").isNotNull()).groupBy("group", "value").agg(F.sum("weight").alias("weight"))
 
-    def rows(group: list, bucket: list, values: list) -> list[tuple]:
+    def first(group: list, part: list, values: list) -> list[tuple]:
+        return [_profile_row(g, p, *column_votes(profiles_of([(x["value"], x["weight"]) for x in v]))) for g, p, v in zip(group, part, values)]
+
+    def again(group: list, part: list, profiles: list) -> list[tuple]:
         out = []
-        for g, _, v in zip(group, bucket, values):
-            pairs = [(x["value"], x["weight"]) for x in v]
-            best = closest(pairs)
-            out.append((g, best, dict(pairs)[best]))
+        for g, p, found in zip(group, part, profiles):
+            found = sorted(found, key=lambda f: (-f["total"], f["part"]))
+            ready = [([Counter(dict(zip(c["tokens"], c["weights"]))) for c in f["columns"]], f["total"]) for f in found]
+            out.append(_profile_row(g, p, *column_votes(ready)))
         return out
 
-    def reduced(df: DataFrame) -> DataFrame:
-        size = df.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    def final(group: list, columns: list) -> list[tuple]:
+        return [(g, heaviest([Counter(dict(zip(c["tokens"], c["weights"]))) for c in x])) for g, x in zip(group, columns)]
+
+    def scored(group: list, value: list, weight: list, wanted: list) -> list[tuple]:
+        return [(g, v, w, likeness(v, t)) for g, v, w, t in zip(group, value, weight, wanted)]
+
+    gathered = (
+        votes.withColumn("part", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / (BUCKET / 2)).cast("bigint")))
+        .groupBy("group", "part")
+        .agg(F.collect_list(F.struct("value", "weight")).alias("values"))
+    )
+    profiles = cut(map_lists(gathered, first, _PROFILE))
+    while not profiles.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
         gathered = (
-            df.join(size, "group")
-            .withColumn("bucket", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / (BUCKET / 2)).cast("bigint")))
-            .groupBy("group", "bucket")
-            .agg(F.collect_list(F.struct("value", "weight")).alias("values"))
+            # Hashes leave parts out, so parts are numbered anew before they are put together.
+            profiles.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy("group").orderBy("part")) - 1) / 8).cast("bigint"))
+            .groupBy("group", F.col("bucket").alias("next"))
+            .agg(F.collect_list(F.struct("part", "total", "columns")).alias("profiles"))
         )
-        return map_lists(gathered, rows, "group string, value string, weight double")
+        profiles = cut(map_lists(gathered, again, _PROFILE))
+    wanted = map_lists(profiles.select("group", "columns"), final, "group string, wanted array<string>")
+    scores = map_lists(
+        votes.join(wanted, "group").select("group", "value", "weight", "wanted"), scored, "group string, value string, weight double, score double"
+    )
+    return scores.groupBy("group").agg(F.min_by("value", F.struct(-F.col("score"), -F.col("weight"), F.col("value"))).alias("value"))
+
+
+def consensus_values(votes: DataFrame) -> DataFrame:
+    """(group, value): the surviving value of every group of `votes` (group, value, weight).
+
+    Weights of equal values are added up before anything is gathered.  A group
+    with more than BUCKET different values is aligned in buckets, whose votes per
+    column are merged in rounds, so that all values vote.  Null values
+    don't vote; a group of nulls gives no row.
+    """
+    votes = votes.where(F.col("value").isNotNull()).groupBy("group", "value").agg(F.sum("weight").alias("weight"))
+
+    def rows(group: list, values: list) -> list[tuple]:
+        return [(g, closest([(x["value"], x["weight"]) for x in v])) for g, v in zip(group, values)]
 
     votes = votes.withColumn("weight", F.col("weight").cast("double"))
     # Groups of one value are settled; only the others are gathered.
     count = votes.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("only"))
     settled = count.where(F.col("n") == 1).select("group", F.col("only").alias("value"))
-    todo = cut(votes.join(count.where(F.col("n") > 1).select("group"), "group", "left_semi"))
-    while True:
-        todo = cut(reduced(todo))
-        if todo.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
-            return settled.unionByName(todo.select("group", "value"))
+    todo = cut(votes.join(count.where(F.col("n") > 1).select("group", "n"), "group"))
+    small = todo.where(F.col("n") <= BUCKET).groupBy("group").agg(F.collect_list(F.struct("value", "weight")).alias("values"))
+    found = settled.unionByName(map_lists(small, rows, "group string, value string"))
+    large = todo.where(F.col("n") > BUCKET)
+    return found if large.isEmpty() else found.unionByName(_large_groups(large))
 
 
 def canonical_source_id(source_id: Column) -> Column:

@@ -27,6 +27,15 @@ def test_consensus_values(spark, monkeypatch):
     assert len(got) == 1 and got[0].value == "title number x"
 
 
+@pytest.mark.parametrize("n", [40, 300])
+def test_all_values_of_a_large_group_vote(spark, n):
+    """Every value differs from the consensus in one word but the one that is the consensus."""
+    words = [f"w{i}" for i in range(10)]
+    values = [" ".join([*words[: i % 10], f"zz{i}", *words[i % 10 + 1 :]]) for i in range(n)] + [" ".join(words)]
+    votes = spark.createDataFrame([("g", v, 1.0) for v in values] + [("h", "a", 1.0), ("h", "b", 2.0)], "group string, value string, weight double")
+    assert {r.group: r.value for r in S.consensus_values(votes).collect()} == {"g": " ".join(words), "h": "b"}
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
