@@ -14,7 +14,9 @@ from paperlake.llm.words import COMMON_WORDS, THAI, UNSPACED, WORDS
 STATISTICS = (
     "n_chars int, n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines int,"
     " ended_line_share double, list_line_share double, common_word_share double, mean_run_length double,"
-    " duplicate_line_share double, duplicate_paragraph_share double, top_bigram_share double"
+    " duplicate_line_share double, duplicate_paragraph_share double, top_bigram_share double,"
+    " top_3gram_share double, top_4gram_share double, repeated_5gram_share double, repeated_6gram_share double,"
+    " repeated_7gram_share double, repeated_8gram_share double, repeated_9gram_share double, repeated_10gram_share double"
 )
 
 EAST_STOP = re.compile("[。！？]")
@@ -32,6 +34,8 @@ LEAST_RUN = 6.5  # characters of Chinese or Japanese
 LEAST_THAI_RUN = 11.0
 SHORT = 6  # words; shorter texts are judged by their letters only
 MOST_REPEATED = 0.5  # of the lines or of the characters
+# Of the characters: the top 2- to 4-gram, all repeated 5- to 10-grams.
+MOST_OF_NGRAMS = (MOST_REPEATED, 0.45, 0.4, 0.8, 0.78, 0.76, 0.74, 0.72, 0.7)
 REPEATABLE = 20  # words from which repetition counts
 
 
@@ -47,15 +51,32 @@ def _run_length(text: str, runs: list[int]) -> float:
     return mean * LEAST_RUN / LEAST_THAI_RUN if len(THAI.findall(text)) * 2 > sum(runs) else mean
 
 
-def _repeated(words: list[str], chars: int) -> float:
-    """Share of the characters that the most repeated word pair covers."""
-    if len(words) < 4:
+def _top_ngram(words: list[str], chars: int, n: int) -> float:
+    """Share of the characters that the most repeated sequence of n words covers."""
+    if len(words) < n + 2:
         return 0.0
-    pairs = Counter(zip(words, words[1:]))
-    times = max(pairs.values())
+    grams = Counter(zip(*(words[i:] for i in range(n))))
+    times = max(grams.values())
     if times < 2 or not chars:
         return 0.0
-    return min(1.0, times * max(len(a) + len(b) for (a, b), n in pairs.items() if n == times) / chars)
+    return min(1.0, times * max(sum(map(len, g)) for g, k in grams.items() if k == times) / chars)
+
+
+def _repeated_ngrams(words: list[str], chars: int) -> list[float]:
+    """Shares of the characters in words of a repeated sequence of 5 to 10 words; words of several count once."""
+    out = [0.0] * 6
+    for n in range(5, 11):
+        grams = list(zip(*(words[i:] for i in range(n))))
+        if len(set(grams)) == len(grams) or not chars:
+            break
+        times = Counter(grams)
+        covered, end = 0, 0
+        for i, g in enumerate(grams):
+            if times[g] > 1:
+                covered += sum(map(len, words[max(i, end) : i + n]))
+                end = i + n
+        out[n - 5] = covered / chars
+    return out
 
 
 def _duplicates(parts: list[str]) -> float:
@@ -88,7 +109,8 @@ def statistics(text: str) -> tuple:
         _run_length(text, unspaced) if len(unspaced) * 2 > n or sum(unspaced) * 2 > letters else 0.0,
         _duplicates(lines),
         _duplicates([x for x in text.split("\n\n") if x and not x.isspace()]),
-        _repeated(words, letters),
+        *(_top_ngram(words, letters, n) for n in (2, 3, 4)),
+        *_repeated_ngrams(words, letters),
     )
 
 
@@ -101,7 +123,7 @@ def kind(s: tuple) -> str:
     by digits and signs.  A short text is prose if it is mostly letters; line
     ends are no condition, as prose may be wrapped, cut off or unpunctuated.
     """
-    _, n, _, symbols, digits, n_lines, ended, listed, common, run, dup_lines, _, bigram = s
+    _, n, _, symbols, digits, n_lines, ended, listed, common, run, dup_lines, dup_paragraphs, *ngrams = s
     letters = 1 - symbols - digits
     if n == 0 or letters < 0.35:
         return "table" if digits > 0.35 else "junk"
@@ -114,7 +136,9 @@ def kind(s: tuple) -> str:
         return "list" if natural or listed > 0.3 or symbols < 0.2 else "junk"
     if n_lines > 2 and not run and (listed > 0.6 and common < 2 * LEAST_COMMON or listed > 0.9 and symbols > 0.15):
         return "list"
-    if n >= REPEATABLE and (dup_lines > MOST_REPEATED or bigram > MOST_REPEATED):
+    if n >= REPEATABLE and (
+        dup_lines > MOST_REPEATED or dup_paragraphs > MOST_REPEATED or any(map(float.__gt__, ngrams, MOST_OF_NGRAMS))
+    ):
         return "repeated"
     return "prose"
 

@@ -86,6 +86,16 @@ def test_no_prose(text):
     assert kind(statistics(text)) != "prose"
 
 
+def test_a_repeated_sentence_is_no_prose():
+    sentence = "We compare the general method of this paper with the other one and it is rare. "
+    assert kind(statistics(sentence * 12)) == "repeated"
+    assert kind(statistics("The words of the text are rare. " * 12)) == "repeated"
+    paragraph = "We ask what the method\ndoes to the text of " + "\n\n"
+    assert kind(statistics(paragraph * 8)) == "repeated"
+    shares = statistics(sentence * 2)[-6:]
+    assert all(s == 1.0 for s in shares) and statistics(PROSE["en"])[-9:] == (0.0,) * 9
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200))
 def test_statistics_of_anything(text):
