@@ -44,17 +44,16 @@ _OF_LANGUAGE = {language: frozenset(words.split()) for language, words in COMMON
 
 def language(text: str, words: list[str] | None = None) -> str:
     """One of the eight languages, by script and, for Latin script, by common words; English if nothing decides."""
-    sample = text if len(text) <= 4000 else text[:2000] + text[len(text) // 2 : len(text) // 2 + 2000]
-    if THAI.search(sample) or KANA.search(sample) or HAN.search(sample) or DEVANAGARI.search(sample) or CYRILLIC.search(sample):
+    if THAI.search(text) or KANA.search(text) or HAN.search(text) or DEVANAGARI.search(text) or CYRILLIC.search(text):
         n = {
-            "th": len(THAI.findall(sample)), "ja": len(KANA.findall(sample)), "zh": len(HAN.findall(sample)),
-            "hi": len(DEVANAGARI.findall(sample)), "ru": len(CYRILLIC.findall(sample)),
+            "th": len(THAI.findall(text)), "ja": len(KANA.findall(text)), "zh": len(HAN.findall(text)),
+            "hi": len(DEVANAGARI.findall(text)), "ru": len(CYRILLIC.findall(text)),
         }
         if n["ja"] * 8 > n["zh"]:
             n["ja"] += n.pop("zh")
         best = max(n, key=n.__getitem__)
-        if n[best] * 4 > len(LATIN.findall(sample)):
+        if n[best] * 4 > len(LATIN.findall(text)):
             return best
-    found = [w.lower() for w in (words if words is not None else WORDS.findall(sample))]
+    found = [w.lower() for w in (words if words is not None else WORDS.findall(text))]
     score = {x: sum(map(_OF_LANGUAGE[x].__contains__, found)) for x in ("en", "de", "fr")}
     return max(score, key=score.__getitem__)

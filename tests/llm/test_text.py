@@ -81,6 +81,11 @@ def test_prose(lang):
     assert language(PROSE[lang]) == lang
 
 
+def test_language_of_the_whole_text():
+    """A long quotation at the beginning and one in the middle don't decide."""
+    assert language(PROSE["zh"] * 45 + PROSE["de"] * 55 + PROSE["zh"] * 45 + PROSE["de"] * 120) == "de"
+
+
 @pytest.mark.parametrize("text", JUNK)
 def test_no_prose(text):
     assert kind(statistics(text)) != "prose"
