@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,14 @@ STATISTICS = (
     " ended_line_share double, list_line_share double, common_word_share double, mean_run_length double,"
     " duplicate_line_share double, duplicate_paragraph_share double, top_bigram_share double,"
     " top_3gram_share double, top_4gram_share double, repeated_5gram_share double, repeated_6gram_share double,"
-    " repeated_7gram_share double, repeated_8gram_share double, repeated_9gram_share double, repeated_10gram_share double"
+    " repeated_7gram_share double, repeated_8gram_share double, repeated_9gram_share double, repeated_10gram_share double,"
+    " duplicate_item_share double"
 )
 
 EAST_STOP = re.compile("[。！？]")
 _DIGIT = re.compile(r"\d")
+# What parts the items of a list that stands on one line.
+_ITEM_END = re.compile(r"[\n\t|;,·•▪◦、，；]|\s/\s|\s[-–—]\s")
 _LINE_END = re.compile("[.!?…:;।॥。！？：；][\"'»”’“)\\]）」』]*\\s*$")
 _LIST_LINE = re.compile(
     r"\s*(?:[-*•–—·▪◦o]\s+\S|[(\[]\s*\w{1,3}\s*[)\]]\s|\d{1,3}[.)](?!\d)\s|(?:\S+\s*[|&\t;]\s*){2,}|.*\.{4,}\s*\d*\s*$|[\w.\[\]]+ ?[-+*/]?= ?\S"
@@ -34,9 +38,12 @@ LEAST_RUN = 6.5  # characters of Chinese or Japanese
 LEAST_THAI_RUN = 11.0
 SHORT = 6  # words; shorter texts are judged by their letters only
 MOST_REPEATED = 0.5  # of the lines or of the characters
+MOST_REPEATED_ITEMS = 0.2  # of the items of what lacks function words
+LEAST_ENDED = 0.5  # of the lines, for prose of a language whose function words aren't known
+MOST_SIGNS = 0.12  # signs or digits in such prose
 # Of the characters: the top 2- to 4-gram, all repeated 5- to 10-grams.
 MOST_OF_NGRAMS = (MOST_REPEATED, 0.45, 0.4, 0.8, 0.78, 0.76, 0.74, 0.72, 0.7)
-REPEATABLE = 20  # words from which repetition counts
+REPEATABLE = 50  # words from which repetition counts; two sentences of one form are no boilerplate
 
 
 def _run_length(text: str, runs: list[int]) -> float:
@@ -111,36 +118,65 @@ def statistics(text: str) -> tuple:
         _duplicates([x for x in text.split("\n\n") if x and not x.isspace()]),
         *(_top_ngram(words, letters, n) for n in (2, 3, 4)),
         *_repeated_ngrams(words, letters),
+        _duplicates([x for x in map(str.strip, _ITEM_END.split(text.lower())) if x]),
     )
 
 
-def kind(s: tuple) -> str:
-    """prose, or what else a text with these statistics is: junk, list, table, repeated.
+class Evidence(NamedTuple):
+    """What the statistics of one text show, each by itself."""
+
+    lettered: bool  # mostly letters
+    natural: bool  # function words, or the unbroken runs of a script without spaces
+    sentences: bool  # lines end as sentences do, with few signs and digits
+    listed: bool  # lines made like those of lists, code, tables of contents
+    repeated: bool  # lines, paragraphs or sequences of words that cover much of the text
+    boilerplate: bool  # items that recur, as in menus
+
+
+def evidence(s: tuple) -> Evidence:
+    _, n, _, symbols, digits, n_lines, ended, listed, common, run, dup_lines, dup_paragraphs, *ngrams, dup_items = s
+    letters = 1 - symbols - digits
+    return Evidence(
+        letters >= (LEAST_LETTERS - 0.1 if run else LEAST_LETTERS),
+        run >= LEAST_RUN if run else common >= LEAST_COMMON,
+        ended >= LEAST_ENDED and symbols < MOST_SIGNS and digits < MOST_SIGNS,
+        n_lines > 2 and not run and (listed > 0.6 and common < 2 * LEAST_COMMON or listed > 0.9 and symbols > 0.15),
+        n >= REPEATABLE
+        and (dup_lines > MOST_REPEATED or dup_paragraphs > MOST_REPEATED or any(map(float.__gt__, ngrams, MOST_OF_NGRAMS))),
+        n >= 2 * SHORT and dup_items > MOST_REPEATED_ITEMS,
+    )
+
 
-    Prose is what has mostly letters, the common words of its language (or,
-    without spaces, the long unbroken runs of sentences) and does not repeat
-    itself.  Lists and boilerplate fail by their missing common words, tables
-    by digits and signs.  A short text is prose if it is mostly letters; line
-    ends are no condition, as prose may be wrapped, cut off or unpunctuated.
+def kind(s: tuple) -> str:
+    """prose, or what else a text with these statistics is: junk, table, repeated, boilerplate, list.
+
+    Text that one sequence of words, line or paragraph covers is `repeated`,
+    whatever it is made of.  Text that is not mostly letters is a table or
+    junk.  Mostly letters with function words (or, without spaces, the long
+    unbroken runs of sentences) is prose unless its lines are made like a
+    list's; without them it is prose only if it is punctuated like sentences
+    and nothing recurs.  Items that recur then make it `boilerplate`.  A short
+    text is prose if it is mostly letters.  A wrapped, cut-off or unpunctuated
+    text is prose by its words.
     """
-    _, n, _, symbols, digits, n_lines, ended, listed, common, run, dup_lines, dup_paragraphs, *ngrams = s
+    n, symbols, digits, listed, run = s[1], s[3], s[4], s[7], s[9]
     letters = 1 - symbols - digits
-    if n == 0 or letters < 0.35:
+    if n == 0:
+        return "junk"
+    shown = evidence(s)
+    if shown.repeated:
+        return "repeated"
+    if letters < 0.35:
         return "table" if digits > 0.35 else "junk"
-    natural = run >= LEAST_RUN if run else common >= LEAST_COMMON
     if n < SHORT and not run:
         return "prose" if letters >= LEAST_LETTERS and listed < 0.5 else "list"
-    if not natural or letters < (LEAST_LETTERS - 0.1 if run else LEAST_LETTERS):
-        if digits > 0.2:
-            return "table"
-        return "list" if natural or listed > 0.3 or symbols < 0.2 else "junk"
-    if n_lines > 2 and not run and (listed > 0.6 and common < 2 * LEAST_COMMON or listed > 0.9 and symbols > 0.15):
-        return "list"
-    if n >= REPEATABLE and (
-        dup_lines > MOST_REPEATED or dup_paragraphs > MOST_REPEATED or any(map(float.__gt__, ngrams, MOST_OF_NGRAMS))
-    ):
-        return "repeated"
-    return "prose"
+    if shown.lettered and (shown.natural or not run and shown.sentences and not shown.boilerplate):
+        return "list" if shown.listed else "prose"
+    if shown.boilerplate:
+        return "boilerplate"
+    if digits > 0.2:
+        return "table"
+    return "list" if shown.natural or listed > 0.3 or symbols < 0.2 else "junk"
 
 
 def quality(texts: DataFrame, text: str = "content", keys: tuple[str, ...] = ("paper_id", "section_key")) -> DataFrame:
