@@ -24,7 +24,7 @@ STATISTICS = (
 EAST_STOP = re.compile("[。！？]")
 _DIGIT = re.compile(r"\d")
 # What parts the items of a list that stands on one line.
-_ITEM_END = re.compile(r"[\n\t|;,·•▪◦、，；]|\s/\s|\s[-–—]\s")
+_ITEM_END = re.compile(r"[\n\t|;,·•▪◦、，；。！？।]|[.!?]\s|\s/\s|\s[-–—]\s")
 _LINE_END = re.compile("[.!?…:;।॥。！？：；][\"'»”’“)\\]）」』]*\\s*$")
 _LIST_LINE = re.compile(
     r"\s*(?:[-*•–—·▪◦o]\s+\S|[(\[]\s*\w{1,3}\s*[)\]]\s|\d{1,3}[.)](?!\d)\s|(?:\S+\s*[|&\t;]\s*){2,}|.*\.{4,}\s*\d*\s*$|[\w.\[\]]+ ?[-+*/]?= ?\S"
