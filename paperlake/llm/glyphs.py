@@ -2,11 +2,14 @@
 
 A value is brought to one form in two steps.  What has only one reading is
 repaired at once: composed letters, zero-width characters, spaces, hyphens,
-full-width and ligature forms.  Look-alike letters are repaired per word: the
-scripts of its letters are counted, the dominant one is kept, and the others
-are substituted if every one of them has a look-alike there.  A word that is
-not mixed but wholly in a script that is foreign to its text is substituted
-only if the result is a word of the corpus.
+full-width and ligature forms.  Look-alike letters are repaired per word, and
+only in words that mix scripts: the scripts of its letters are counted, the
+others are substituted by look-alikes of the dominant one, and the result is
+taken if the vocabulary of the corpus has it.  The vocabulary are the words of
+one script in all values after the first step.  A result of four letters or
+more that is no word of it, such as a name that occurs once, is taken if the
+vocabulary has all of its pieces: every run of three letters, the ends counting
+as letters.  Words wholly in another script are left alone.
 """
 
 from __future__ import annotations
@@ -49,8 +52,7 @@ TO = {
     "C": LATIN_CYRILLIC | GREEK_CYRILLIC,
     "G": LATIN_GREEK | CYRILLIC_GREEK,
 }
-# Lower-case Latin letters that only resemble Cyrillic ones in some typefaces
-# take part in a word that is mixed, never in a whole word.
+# Lower-case Latin letters that only resemble Cyrillic ones in some typefaces.
 WEAK_CYRILLIC = frozenset("kmtbhnur")
 
 _LATIN = r"A-Za-zªºÀ-ÖØ-öø-ɏᴀ-ᶿḀ-ỿ"
@@ -61,7 +63,6 @@ WORD = re.compile(f"[{_LATIN}{_CYRILLIC}{_GREEK}{_MARK}]+")
 _IN_LATIN = re.compile(f"[{_LATIN}]")
 _IN_CYRILLIC = re.compile(f"[{_CYRILLIC}]")
 _IN_GREEK = re.compile(f"[{_GREEK}]")
-_FOREIGN_WORD = re.compile(f"[{_LATIN}{_MARK}]*[{_CYRILLIC}{_GREEK}][{_LATIN}{_CYRILLIC}{_GREEK}{_MARK}]*")
 _EAST = re.compile(r"[\u3040-ヿㇰ-ㇿ㐀-䶿一-鿿豈-\ufaff]")
 _ODD = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}" + r"ﬀ-ﬆ！-\uffef\U0001d400-\U0001d7ff]")
 _WIDE_LETTER = re.compile(r"[０-９Ａ-Ｚａ-ｚﬀ-ﬆ\U0001d400-\U0001d7ff]")
@@ -96,125 +97,148 @@ def plain(text: str) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def one_script(word: str) -> str | None:
-    """A word of mixed scripts written in one, or None if that is impossible; the word itself if it is not mixed.
+def readings(word: str) -> tuple[str, ...]:
+    """What a word of mixed scripts reads in each of them where every other letter has a look-alike; none if it is not mixed.
 
-    The dominant script is tried first; among equals Latin, then Cyrillic.  A
+    The dominant script comes first; among equals Latin, then Cyrillic.  A
     reading that needs Latin letters which resemble Cyrillic ones only in some
-    typefaces is taken last.
+    typefaces comes last.
     """
     count = {"L": len(_IN_LATIN.findall(word)), "C": len(_IN_CYRILLIC.findall(word)), "G": len(_IN_GREEK.findall(word))}
     if sum(n > 0 for n in count.values()) < 2:
-        return word
-    readings = []
+        return ()
+    out = []
     for script in sorted(count, key=lambda s: -count[s]):
         if count[script]:
             table, own = TO[script], {"L": _IN_LATIN, "C": _IN_CYRILLIC, "G": _IN_GREEK}[script]
             new = "".join(c if own.match(c) or unicodedata.combining(c) else table.get(c, "\0") for c in word)
             if "\0" not in new:
                 weak = script == "C" and any(c in WEAK_CYRILLIC for c in word)
-                readings.append((weak, new))
-    return min(readings, key=lambda r: r[0])[1] if readings else None
+                out.append((weak, new))
+    return tuple(new for _, new in sorted(out, key=lambda r: r[0]))
+
+
+def one_script(word: str) -> str | None:
+    """The first reading of a word of mixed scripts, or None without one; the word itself if it is not mixed.
+
+    For keys that are only compared; normalise() asks the vocabulary.
+    """
+    if not _mixed(word):
+        return word
+    found = readings(word)
+    return found[0] if found else None
+
 
+def _mixed(text: str) -> bool:
+    return bool(_IN_LATIN.search(text)) + bool(_IN_CYRILLIC.search(text)) + bool(_IN_GREEK.search(text)) > 1
 
-def whole_word_reading(word: str, script: str) -> str | None:
-    """What a word wholly of look-alikes reads in `script`, or None.  Single lower-case Greek letters are symbols."""
-    if len(word) == 1 and _IN_GREEK.match(word) and word.islower():
-        return None
-    if script == "C" and (len(word) < 2 or any(c in WEAK_CYRILLIC for c in word)):
-        return None
-    new = "".join(TO[script].get(c, "\0") for c in word)
-    return None if "\0" in new or new == word else new
 
+def mixed_words(text: str) -> set[str]:
+    """The words of a text whose letters are of several scripts."""
+    return {w for w in WORD.findall(text) if _mixed(w)} if not text.isascii() and _mixed(text) else set()
 
-def repair(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """The repaired text, and the whole words that may be look-alikes with what they would read."""
+
+def repair(text: str) -> str:
+    """A text with every mixed word in its first reading, without a vocabulary: for keys that are only compared."""
     text = plain(text)
-    if not _IN_CYRILLIC.search(text) and not _IN_GREEK.search(text):
-        return text, []
-    latin = len(_IN_LATIN.findall(text))
-    cyrillic = len(_IN_CYRILLIC.findall(text))
-    script = "L" if latin >= cyrillic else "C"
-    pending: list[tuple[str, str]] = []
-
-    def change(m: re.Match) -> str:
-        word = m.group()
-        new = one_script(word)
-        if new is None:
-            return word
-        if new == word:
-            foreign = (script == "L") != bool(_IN_LATIN.search(word))
-            reading = whole_word_reading(word, script) if foreign else None
-            if reading:
-                pending.append((word, reading))
-        return new
-
-    return (WORD if script == "C" else _FOREIGN_WORD).sub(change, text), pending
+    approved = {w: r[0] for w in mixed_words(text) if (r := readings(w))}
+    return replace_words(text, approved) if approved else text
 
 
 def replace_words(text: str, approved: dict[str, str]) -> str:
     return WORD.sub(lambda m: approved.get(m.group(), m.group()), text)
 
 
-#: Candidate readings up to this number are broadcast (at most some 2 MB); beyond it the vocabulary is joined by a shuffle.
+#: Words and pieces asked for up to this number are broadcast (at most some 2 MB); beyond it the vocabulary is joined by a shuffle.
 MOST_BROADCAST = 50_000
+#: Letters from which a word may be known by its pieces.
+LEAST_PIECED = 4
+PIECE = 3
+
+
+def pieces_of(word: str) -> list[str]:
+    """All runs of PIECE letters, the ends counting as letters."""
+    word = f"^{word}$"
+    return [word[i : i + PIECE] for i in range(len(word) - PIECE + 1)]
 
 
-def corpus_words(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of `wanted` (column word) that occur in `values` (column value) as ordinary words.
+def corpus_terms(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The terms of `wanted` (column term) that the vocabulary of `values` (column value) has.
 
-    Every value is read.  While the wanted words are few they are broadcast and
-    the values are filtered before the shuffle; otherwise all words are
-    shuffled.  Both ways give the same rows.
+    A term is = and a word, or a piece, in lower case.  Every value is read.
+    While the wanted terms are few they are broadcast and the values are
+    filtered before the shuffle; otherwise all terms are shuffled.  Both ways
+    give the same rows.
     """
     few = wanted.limit(MOST_BROADCAST + 1).collect()
-    only = frozenset(r.word for r in few) if len(few) <= MOST_BROADCAST else None
+    only = frozenset(r.term for r in few) if len(few) <= MOST_BROADCAST else None
     if only is not None and not only:
         return wanted
     shared = values.sparkSession.sparkContext.broadcast(only)
 
-    def words(column: list) -> list[tuple]:
+    def terms(column: list) -> list[tuple]:
         keep, seen = shared.value, set()
         for text in column:
             if text:
-                seen.update(WORD.findall(text))
-        return [(w,) for w in (seen & keep if keep is not None else seen)]
+                seen.update(WORD.findall(text if text.isascii() else plain(text)))
+        words = {w.lower() for w in seen if w.isascii() or not _mixed(w)}
+        found = {"=" + w for w in words}
+        found.update(p for w in words for p in pieces_of(w))
+        return [(t,) for t in (found & keep if keep is not None else found)]
+
+    present = map_lists(values.select("value"), terms, "term string").distinct()
+    return wanted.join(present, "term", "left_semi")
+
+
+def known_readings(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, reading) for the mixed words of `words` (column word) of which the vocabulary has a reading; the first one it has."""
+
+    def asked(word: list) -> list[tuple]:
+        out = []
+        for w in word:
+            for i, r in enumerate(readings(w)):
+                low = r.lower()
+                out.append((w, i, r, "=" + low, True, 1))
+                if len(low) >= LEAST_PIECED:
+                    parts = set(pieces_of(low))
+                    out += [(w, i, r, p, False, len(parts)) for p in parts]
+        return out
 
-    present = map_lists(values.select("value"), words, "word string").distinct()
-    return wanted.join(present, "word", "left_semi")
+    terms = cut(map_lists(words.distinct(), asked, "word string, place int, reading string, term string, whole boolean, n int"))
+    present = corpus_terms(vocabulary, terms.select("term").distinct())
+    met = terms.join(present, "term", "left_semi").groupBy("word", "place", "reading", "whole", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.col("met") == F.col("n")).groupBy("word").agg(F.min_by("reading", "place").alias("reading"))
 
 
 def normalise(values: DataFrame, vocabulary: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One form of writing for `values`, a table with the column `value` and key columns `keep`.
 
     Returns keep..., value, normal: the rows whose form changes.  `vocabulary`
-    (column value) is the text whose words decide on whole words of
-    look-alikes; by default `values` itself.  Null and empty values, and values
-    in the ordinary form, give no row; repeated rows are kept; an empty table
-    gives no rows.
+    (column value) is the text whose words decide on mixed words; by default
+    `values` itself.  A mixed word that the vocabulary doesn't know stays.
+    Null and empty values, and values in the ordinary form, give no row;
+    repeated rows are kept; an empty table gives no rows.
     """
     base = values.select(*keep, "value").where(F.col("value").rlike(NEEDS_A_LOOK))
     fields = {f.name: f.dataType.simpleString() for f in base.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keep)
-    schema += ", value string, normal string, pending array<struct<word: string, reading: string>>"
+    schema += ", value string, normal string, mixed array<string>"
 
     def look(*columns: list) -> list[tuple]:
         out = []
         for row in zip(*columns):
-            new, pending = repair(row[-1])
-            if pending or new != row[-1]:
-                out.append((*row, new, [{"word": w, "reading": r} for w, r in dict(pending).items()]))
+            new = plain(row[-1])
+            mixed = [w for w in mixed_words(new) if readings(w)]
+            if mixed or new != row[-1]:
+                out.append((*row, new, mixed))
         return out
 
     looked = cut(map_lists(base, look, schema))
-    sure = looked.where(F.size("pending") == 0).drop("pending")
-    open_ = looked.where(F.size("pending") > 0).withColumn("row", F.xxhash64(*keep, "value"))
-    pairs = open_.select("row", F.explode("pending").alias("p")).select("row", "p.word", "p.reading").distinct()
-    known = corpus_words(
-        (vocabulary if vocabulary is not None else values).select("value"),
-        pairs.select(F.col("reading").alias("word")).distinct(),
-    ).withColumnRenamed("word", "reading")
-    approved = pairs.join(known, "reading").groupBy("row").agg(
+    sure = looked.where(F.size("mixed") == 0).drop("mixed")
+    open_ = looked.where(F.size("mixed") > 0).withColumn("row", F.xxhash64(*keep, "value"))
+    pairs = open_.select("row", F.explode("mixed").alias("word")).distinct()
+    known = known_readings(pairs.select("word"), vocabulary if vocabulary is not None else values)
+    approved = pairs.join(known, "word").groupBy("row").agg(
         F.map_from_entries(F.collect_set(F.struct("word", "reading"))).alias("approved")
     )
 

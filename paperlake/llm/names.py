@@ -60,7 +60,7 @@ _STROKES = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "ı": "i"
 
 def fold(text: str) -> str:
     """Lower case, one script, without accents."""
-    text = repair(text)[0].lower().translate(_STROKES)
+    text = repair(text).lower().translate(_STROKES)
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 

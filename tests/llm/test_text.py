@@ -31,27 +31,45 @@ from paperlake.llm.words import language
     ],
 )
 def test_normal_forms(text, normal):
-    assert G.repair(text)[0] == normal
-    assert G.repair(normal)[0] == normal
+    assert G.repair(text) == normal
+    assert G.repair(normal) == normal
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_repair_settles(text):
-    once = G.repair(text)[0]
-    assert G.repair(once)[0] == once
-
-
-def test_whole_words_need_the_vocabulary(spark, monkeypatch):
-    rows = [("1", "le mot ісі est la", "t"), ("2", "nous sommes ici", "t"), ("3", "une соре", "t"), ("4", None, "t"), ("5", "", "t")]
+    once = G.repair(text)
+    assert G.repair(once) == once
+
+
+def test_only_mixed_words_and_only_with_the_vocabulary(spark, monkeypatch):
+    """A mixed word changes if the corpus has its reading, or all the pieces of one; a whole word in another script stays."""
+    rows = [
+        ("1", "un mоt rare", "t"),  # the corpus has mot
+        ("2", "ce mot est là", "t"),
+        ("3", "le mot ісі est la", "t"),  # wholly Cyrillic
+        ("4", "nous sommes ici", "t"),
+        ("5", "Wеmisk", "t"),  # an invented name that is made of known pieces
+        ("6", "Wemy, Gemisk", "t"),
+        ("7", "хq, the fоx", "t"),  # neither word is known, and both are too short for pieces
+        ("8", None, "t"),
+        ("9", "", "t"),
+    ]
     df = spark.createDataFrame(rows, "id string, value string, word string")
-    expected = {("1", "le mot ici est la")}
+    expected = {("1", "un mot rare"), ("5", "Wemisk")}
     assert {(r.id, r.normal) for r in G.normalise(df, keep=("id",)).collect()} == expected
     monkeypatch.setattr(G, "MOST_BROADCAST", 0)
     assert {(r.id, r.normal) for r in G.normalise(df, keep=("id",)).collect()} == expected
     assert G.normalise(df.limit(0), keep=("id",)).count() == 0
 
 
+def test_readings_prefer_the_dominant_script():
+    assert G.readings("метoд") == ("метод",)
+    assert G.readings("thе")[0] == "the"
+    assert G.readings("plain") == ()
+    assert G.mixed_words("the Grоup α β") == {"Grоup"}
+
+
 PROSE = {
     "en": "We ask whether a frequent alignment can replace the lexicon used by robust scripts. The tables list scripts and annotators.",
     "de": "Unsere Aufgabe zeigt, dass die einfache Häufigkeit selten ausreicht. Das Ergebnis hängt von der Satz ab.",
