@@ -22,7 +22,7 @@ def test_consensus_values(spark, monkeypatch):
     assert {r.group: r.value for r in S.consensus_values(votes).collect()} == expected
     assert S.consensus_values(votes.limit(0)).count() == 0
     many = [("big", f"title number {i}", 1.0) for i in range(300)] + [("big", "title number x", 50.0)]
-    monkeypatch.setattr(S, "BUCKET", 8)
+    monkeypatch.setattr(S, "CHUNK", 8)
     got = S.consensus_values(spark.createDataFrame(many, "group string, value string, weight double")).collect()
     assert len(got) == 1 and got[0].value == "title number x"
 
@@ -36,6 +36,20 @@ def test_all_values_of_a_large_group_vote(spark, n):
     assert {r.group: r.value for r in S.consensus_values(votes).collect()} == {"g": " ".join(words), "h": "b"}
 
 
+@pytest.mark.parametrize("n", [31, 65, 300])
+def test_one_rule_for_groups_of_any_size(spark, n):
+    """What the cluster returns is what one process returns on all values, below and above a chunk."""
+    values = [(f"near equal title {i % 7} of {i} words {i % 3}", 1.0 + i % 2) for i in range(n)]
+    votes = spark.createDataFrame([("g", v, w) for v, w in values], "group string, value string, weight double")
+    assert [r.value for r in S.consensus_values(votes).collect()] == [S.closest(values)]
+
+
+def test_only_some_values_may_survive(spark):
+    rows = [("g", "a b c", 1.0, True), ("g", "a b d", 1.0, True), ("g", "x b d", 0.5, False), ("h", "no", 1.0, False)]
+    votes = spark.createDataFrame(rows, "group string, value string, weight double, may boolean")
+    assert {r.group: r.value for r in S.consensus_values(votes).collect()} == {"g": "a b d"}
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
@@ -73,3 +87,16 @@ def test_survivors(spark):
     got = {(r.group_id, r.field_name, r.record_id) for r in S.survivors(df, fields).collect()}
     assert got == {("a", "v", "a"), ("d", "v", "d"), ("f", "v", "f")}
     assert S.survivors(df.limit(0), fields).count() == 0
+
+
+def test_lower_ranks_decide_ties_and_nothing_else(spark):
+    t = [datetime(2024, 1, d) for d in range(1, 5)]
+    rows = [
+        ("a", "g", "one two three", t[2]), ("b", "g", "one two four", t[2]),  # tied
+        ("c", "g", "zero two four", t[1]), ("d", "g", "five six four", t[0]), ("d", "g", "five six four", t[0]),
+        ("e", "h", "new", t[3]), *((f"f{i}", "h", "old", t[0]) for i in range(50)),  # many old ones don't outvote
+        ("i", "j", "x y", None), ("j", "j", "x z", None),  # tied at the oldest: the greater token
+    ]
+    df = spark.createDataFrame(rows, "_id string, group_key string, v string, updated_at timestamp_ntz")
+    fields = {"v": (F.col("v"), F.col("v") != "bad", (F.col("updated_at"),))}
+    assert {(r.group_id, r.record_id) for r in S.survivors(df, fields).collect()} == {("a", "b"), ("e", "e"), ("i", "j")}
