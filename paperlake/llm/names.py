@@ -1,13 +1,22 @@
 """Variant spellings of names typed by people.
 
 Names are brought to one form of writing, parsed into given names, initials and
-surname (or the words of an organisation), and reduced to distinct keys.  Keys
-meet by suffix blocking: every suffix of a word, from a least length on, is an
-index entry.  A suffix that too many keys share is not discarded but refined
-with the other fields, by several entries per key: one for each way in which
-two keys may name one person.  Keys that share an entry are compared by the ratio of their longest
-common subsequence; what the ratio can't tell is decided by how the corpus uses
-the words.
+surname (or the words of an organisation), and reduced to distinct keys.
+
+The words of a field (given names, surnames) are an index of suffixes: every
+suffix from a least length on is an entry.  A suffix that too many words share
+is not dropped but refined with the other field of the keys: words that may be
+linked must have partners in common, so they still meet.  Words whose slip is
+too near the end for a common suffix meet by what is left of them without a
+letter or two.  Words that meet are compared by the ratio of their longest
+common subsequence.
+
+What the ratio can't tell is told by the corpus: a spelling is a variant of
+another one if it stands mostly with partners that the other has as well.
+`Marta` and `Maria` are alike, but few of their surnames are the same; nearly
+every surname of `Mraia` is one of `Maria`.  So are nicknames found that have
+nothing in common with the full name.  These shares do not depend on how large
+the corpus is.
 """
 
 from __future__ import annotations
@@ -15,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.llm.glyphs import repair
@@ -24,12 +33,25 @@ from paperlake.llm.inputs import map_lists
 from paperlake.session import cut
 
 LEAST_SUFFIX = 4
-#: Keys in a block from which its suffix is refined with the other fields.
-COMMON_BLOCK = 100
-LEAST_RATIO = 0.8
-#: A surname in at most so many keys, or in this share of the keys of the other, may be a misspelling of it.
-RARE = 2
-RARE_SHARE = 0.1
+#: Words or keys in a block from which its suffix is refined with the other fields.
+COMMON_BLOCK = 20
+#: Least ratio of the longest common subsequence of two spellings of a given name, a surname, a word of an organisation.
+#: A given name has many partners, which tell variants well, so that one letter of three may differ; a surname has few.
+GIVEN_RATIO = 0.66
+SURNAME_RATIO = 0.83
+ORGANISATION_RATIO = 0.75
+#: Letters of either word outside the common subsequence, at most.
+MOST_ODD = 2
+#: Least share of a spelling's partners that a more frequent spelling must have too.
+LEAST_SHARED = 0.5
+#: What a nickname that is not like the name must have: so many surnames, nearly all of them with the name too (share
+#: and log-likelihood ratio), and fewer than this share of the name's.
+LEAST_PARTNERS = 3
+NICKNAME_SHARED = 0.8
+NICKNAME = 20.0
+NICKNAME_USES = 0.5
+#: Letters of the longest word that is compared; a longer one is linked only where it is equal.
+LONGEST = 40
 
 # Words that come with a name and are no part of it.
 TITLES = frozenset("dr prof professor mr mrs ms mx sir phd md ed eds editor jr sr dipl ing msc bsc".split())
@@ -43,7 +65,7 @@ ORGANISATION = {
 ORGANISATION_WORDS = frozenset(ORGANISATION.values()) | frozenset(
     "team school college foundation initiative project council academy division unit company corporation agency".split()
 )
-# Short forms of given names that are neither beginning nor end of the full form.
+# Short forms of given names that are neither beginning nor end of the full form, for corpora too small to learn them from.
 NICKNAMES = {
     "beppe": "giuseppe", "bill": "william", "bob": "robert", "dick": "richard", "dima": "dmitri", "hal": "henry",
     "jack": "john", "jim": "james", "joe": "joseph", "joey": "joseph", "kate": "katherine", "katie": "katherine", "liz": "elizabeth", "maggie": "margaret",
@@ -74,7 +96,7 @@ def parse(name: str) -> tuple[str, list[str], list[str], str | None]:
         # People rarely have four words, and three are needed before a misspelt word shows an organisation.
         or len(words) > 2
         and "," not in text
-        and any(len(w) > 5 and any(one_slip(w, o) for o in ORGANISATION_WORDS) for w in plain)
+        and any(len(w) > 5 and any(alike(w, o, ORGANISATION_RATIO) for o in ORGANISATION_WORDS) for w in plain)
     ):
         return "organisation", [w for w in plain if w not in SMALL_WORDS], [], None
     before, comma, after = text.partition(",")
@@ -89,14 +111,16 @@ def parse(name: str) -> tuple[str, list[str], list[str], str | None]:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+    """Length of the longest common subsequence, by the bits of one integer."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -104,15 +128,13 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def one_slip(a: str, b: str) -> bool:
-    """True if one letter is missing, doubled, replaced or swapped with its neighbour."""
-    if abs(len(a) - len(b)) > 1 or a == b or ratio(a, b) < LEAST_RATIO - 0.15:
+def alike(a: str, b: str, least: float) -> bool:
+    """True if two different words are alike enough to be spellings of one."""
+    m, n = len(a), len(b)
+    if a == b or abs(m - n) > MOST_ODD or max(m, n) > LONGEST:
         return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    x, y = a[i:], b[i:]
-    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
+    same = common_subsequence(a, b)
+    return 2 * same >= least * (m + n) and m - same <= MOST_ODD and n - same <= MOST_ODD
 
 
 def short_form(a: str, b: str) -> bool:
@@ -120,8 +142,12 @@ def short_form(a: str, b: str) -> bool:
     a, b = sorted((a, b), key=len)
     if NICKNAMES.get(a) == b:
         return True
-    stem = a[:-1] if len(a) > 3 and a[-1] in "iey" else a
-    return len(a) >= 3 and len(b) >= len(a) + 2 and (b.startswith(stem) or b.endswith(a))
+    return len(a) >= 3 and len(b) >= len(a) + 2 and len(b) <= LONGEST and (b.startswith(stem_of(a)) or b.endswith(a))
+
+
+def stem_of(name: str) -> str:
+    """A given name without the vowel that short forms end in."""
+    return name[:-1] if len(name) > 3 and name[-1] in "iey" else name
 
 
 def initials_fit(given: str, initials: str, other_initials: str) -> bool:
@@ -134,36 +160,8 @@ def initials_fit(given: str, initials: str, other_initials: str) -> bool:
     return (letters[:1] + other_initials).startswith(initials) and bool(initials)
 
 
-def same_person(a: tuple, b: tuple) -> str | None:
-    """How two keys (given, initials, surname, support of surname, known given) name one person: exact, slip, short, initials; or None."""
-    ga, ia, sa, na, ka = a
-    gb, ib, sb, nb, kb = b
-    if ga and gb and ia and ib and ia[0] != ib[0]:
-        return None
-    if sa == sb:
-        if ga == gb:
-            return "exact" if ga or ia.startswith(ib) or ib.startswith(ia) else None
-        if not ga or not gb:
-            full, short = (a, b) if ga else (b, a)
-            return "initials" if initials_fit(full[0], short[1], full[1]) else None
-        if ga.replace("-", "") == gb.replace("-", "") or ga.split("-")[0] == gb.split("-")[0] and ("-" in ga) != ("-" in gb):
-            return "exact"
-        if ka and kb:
-            return None
-        if one_slip(ga, gb):
-            return "slip"
-        return "short" if short_form(ga, gb) else None
-    if ga and ga == sb and sa == gb:
-        return "exact"
-    # A slip in the surname: the rest is the same, and one of the spellings hardly stands elsewhere,
-    # or seldom for how often the other does.
-    if ga and ga == gb and min(na, nb) <= max(RARE, RARE_SHARE * max(na, nb)) and len(sa) > 4 and one_slip(sa, sb):
-        return "slip"
-    return None
-
-
 def same_organisation(a: list[str], b: list[str]) -> bool:
-    """True if the words match one to one, as equal, abbreviated, or with one slip in all."""
+    """True if the words match one to one, as equal, abbreviated, or with one of them misspelt."""
     if len(a) != len(b) or len(a) < 2:
         return False
     rest, slips = list(b), 0
@@ -177,7 +175,7 @@ def same_organisation(a: list[str], b: list[str]) -> bool:
                 break
         else:
             for v in rest:
-                if one_slip(w, v):
+                if alike(w, v, ORGANISATION_RATIO):
                     slips += 1
                     break
             else:
@@ -191,9 +189,10 @@ def same_organisation(a: list[str], b: list[str]) -> bool:
 def keyed_names(names: DataFrame) -> DataFrame:
     """(name, kind, given, initials, surname, words) for distinct names (column name).
 
-    Without a comma the surname is the last word, unless the corpus uses the
-    first word with far fewer others than the last: a given name has many
-    partners, a surname few.
+    Without a comma the surname is the last word, unless names with a comma
+    show that the first word is mostly a surname and the last mostly a given
+    name.  Where they show neither, a word that stands with more than three
+    times as many others as the other one does is the given name.
     """
 
     def rows(name: list) -> list[tuple]:
@@ -208,20 +207,34 @@ def keyed_names(names: DataFrame) -> DataFrame:
     )
     two = parsed.where((F.col("kind") == "person") & F.col("surname").isNull() & (F.size("words") >= 2))
     ends = two.select(F.get("words", F.lit(0)).alias("first"), F.element_at("words", -1).alias("last")).distinct()
-    known = parsed.where((F.col("kind") == "person") & F.col("surname").isNotNull() & (F.size("words") >= 1)).select(
+    shown = parsed.where((F.col("kind") == "person") & F.col("surname").isNotNull() & (F.size("words") >= 1)).select(
         F.get("words", F.lit(0)).alias("first"), F.col("surname").alias("last")
     )
-    pairs = ends.unionByName(known).distinct()
-    partners = (
-        pairs.select(F.col("first").alias("word"), F.col("last").alias("other"))
-        .unionByName(pairs.select(F.col("last").alias("word"), F.col("first").alias("other")))
+    uses = lambda df, as_given, as_surname: df.distinct().select(
+        F.explode(
+            F.array(
+                F.struct(F.col("first").alias("word"), as_given.alias("given"), F.lit(0).alias("surname"), F.lit(1).alias("partners")),
+                F.struct(F.col("last").alias("word"), F.lit(0).alias("given"), as_surname.alias("surname"), F.lit(1).alias("partners")),
+            )
+        ).alias("u")
+    ).select("u.*")
+    one, none = F.lit(1), F.lit(0)
+    words = (
+        uses(shown, one, one)
+        .unionByName(uses(ends, none, none))
         .groupBy("word")
-        .agg(F.approx_count_distinct("other", 0.02).alias("partners"))
+        .agg(F.sum("given").alias("given"), F.sum("surname").alias("surname"), F.sum("partners").alias("partners"))
     )
+    role = lambda end: words.select(F.col("word").alias(end), F.struct("given", "surname", "partners").alias(f"of_{end}"))
+    known = lambda end: F.col(f"of_{end}.given") + F.col(f"of_{end}.surname") > 0
+    by_comma = (F.col("of_last.given") > F.col("of_last.surname")) & (F.col("of_first.surname") >= F.col("of_first.given")) | (
+        F.col("of_first.surname") > F.col("of_first.given")
+    ) & (F.col("of_last.given") >= F.col("of_last.surname"))
+    by_partners = F.col("of_last.partners") > 3 * F.col("of_first.partners") + 3
     swapped = (
-        ends.join(partners.select(F.col("word").alias("first"), F.col("partners").alias("of_first")), "first")
-        .join(partners.select(F.col("word").alias("last"), F.col("partners").alias("of_last")), "last")
-        .where(F.col("of_last") > 3 * F.col("of_first") + 3)
+        ends.join(role("first"), "first")
+        .join(role("last"), "last")
+        .where(F.when(known("first") | known("last"), by_comma).otherwise(by_partners))
         .select("first", "last", F.lit(True).alias("swapped"))
     )
     person = (
@@ -261,160 +274,229 @@ def _suffixes(word) -> F.Column:
     return F.transform(cuts, lambda i: F.substr(word, i))
 
 
-def _slips(word) -> Column:
-    """A word and what is left of it without one of its letters: two words that differ by one slip share one of these."""
-    n = F.length(word)
-    return F.array_append(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))), word
-    )
-
-
-def _parts(sign: str, word, ends: Column) -> Column:
-    """Blocks of a sign, a fixed word and each of an array of other words."""
-    return F.transform(ends, lambda x: F.concat_ws("|", F.lit(sign), word, x))
+def remains(word: str, least: float) -> set[str]:
+    """What is left of a word without some of its letters: two words that are alike have one of these in common."""
+    out = {word}
+    level = {word}
+    n = len(word)
+    for d in range(1, MOST_ODD + 1):
+        if 2 * (n - d) < least * (2 * n - d):
+            break
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out |= level
+    return out
 
 
-def _exact_entries(keys: DataFrame, big: DataFrame) -> DataFrame:
-    """(key, block, side): entries by which all pairs that may be linked meet, whose common words make blocks too big.
+def _met(entries: DataFrame, refined: DataFrame) -> DataFrame:
+    """(a, b), a < b, for items that share a block of `entries` (item, block).
 
-    There is one sign for each way of same_person and same_organisation.  Keys
-    of side 0 meet each other; one of side 1, a short form or initials, meets
-    those of side 2 it may stand for, so that many full names of one surname
-    don't meet each other for it.
+    A block of more than COMMON_BLOCK items is divided by `refined` (item, by),
+    the values of the items' other field.
     """
-    word = F.substring_index("block", "|", -1)
-    people = (
-        keys.where(F.col("kind") == "person")
-        .join(big.where(F.col("block").startswith("p|")).select(word.alias("surname"), F.lit(True).alias("big_surname")), "surname", "left")
-        .join(big.where(F.col("block").startswith("p|")).select(word.alias("given"), F.lit(True).alias("big_given")), "given", "left")
-        .where(F.col("big_surname") | F.col("big_given"))
-    )
-    none = F.array().cast("array<string>")
-    given, surname, n = F.col("given"), F.col("surname"), F.length("given")
-    full = n > 0
-    nicknames = F.create_map(*(F.lit(x) for pair in NICKNAMES.items() for x in pair))
-    names = F.concat(
-        _slips(given), F.array(F.substring_index(given, "-", 1), F.replace(given, F.lit("-"), F.lit("")), F.coalesce(F.try_element_at(nicknames, given), given))
-    )
-    ends = F.sequence(F.lit(3), F.greatest(F.lit(3), n))
-    stem = F.when((n > 3) & F.substring(given, -1, 1).isin("i", "e", "y"), F.expr("left(given, length(given) - 1)")).otherwise(given)
-    letter = F.substring(F.concat(given, "initials"), 1, 1)
-    of_surname = lambda x: F.when(F.col("big_surname") & x, True).otherwise(False)
-    both = F.concat(
-        F.when(of_surname(full), _parts("g", surname, names)).otherwise(none),
-        F.when(F.col("big_given") & full, _parts("s", given, _slips(surname))).otherwise(none),
-        F.when(full, F.array(F.concat_ws("|", F.lit("w"), F.least(given, surname), F.greatest(given, surname)))).otherwise(none),
-    )
-    short = F.concat(
-        F.when(of_surname(n >= 3), F.array(F.concat_ws("|", F.lit("b"), surname, stem), F.concat_ws("|", F.lit("e"), surname, given))).otherwise(none),
-        F.when(of_surname(~full), F.array(F.concat_ws("|", F.lit("i"), surname, letter))).otherwise(none),
-    )
-    long = F.concat(
-        F.when(of_surname(n > 4), _parts("b", surname, F.transform(ends, lambda i: F.substr(given, F.lit(1), i)))).otherwise(none),
-        F.when(of_surname(n > 4), _parts("e", surname, F.transform(ends, lambda i: F.substr(given, n - i + 1, i)))).otherwise(none),
-        F.when(of_surname(F.lit(True)), _parts("i", surname, F.array(letter, F.lit("")))).otherwise(none),
+    size = entries.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    sized = cut(entries.join(size, "block"))
+    small = sized.where(F.col("size") <= COMMON_BLOCK).select("item", "block")
+    common = sized.where(F.col("size") > COMMON_BLOCK).join(refined, "item").select("item", F.concat_ws("|", "block", "by").alias("block"))
+    every = small.unionByName(common)
+    x, y = every.select(F.col("item").alias("a"), "block"), every.select(F.col("item").alias("b"), "block")
+    return x.join(y, "block").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def _alike_words(pairs: DataFrame, least: float) -> DataFrame:
+    """The uses of two words of a field by their partners: (a, b, n_a, n_b, shared); a is the rarer word."""
+    used = cut(pairs.select("word", "partner").distinct())
+    count = used.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def index(word: list) -> list[tuple]:
+        return [(w, "-" + r) for w in word for r in remains(w, least)]
+
+    words = count.where(F.length("word").between(2, LONGEST)).select("word")
+    entries = (
+        words.select(F.col("word").alias("item"), F.explode(_suffixes(F.col("word"))).alias("block"))
+        .unionByName(map_lists(words, index, "item string, block string"))
+        .distinct()
     )
-    groups = keys.where(F.col("kind") == "organisation").join(big.where(F.col("block").startswith("o|")).select("key").distinct(), "key", "left_semi")
-    # Equal and abbreviated words begin alike; the one word with a slip is told by its slips.
-    begins = lambda words: F.array_join(F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 3))), " ")
-    words = F.col("words")
-    rest = lambda i: F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
-    of_group = F.array_append(
-        F.flatten(F.transform(words, lambda w, i: F.transform(_slips(w), lambda v: F.concat_ws("|", F.lit("o"), begins(rest(i)), v)))),
-        F.concat_ws("|", F.lit("o"), begins(words)),
+    refined = used.select(F.col("word").alias("item"), F.col("partner").alias("by"))
+
+    def compare(a: list, b: list) -> list[tuple]:
+        return [(x, y) for x, y in zip(a, b) if alike(x, y, least)]
+
+    met = _met(entries, refined).where(F.abs(F.length("a") - F.length("b")) <= MOST_ODD)
+    return _shared(map_lists(met, compare, "a string, b string"), used, count)
+
+
+def _shared(pairs: DataFrame, used: DataFrame, count: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, shared) for pairs of words, the rarer one as a: how many partners of a stand with b too."""
+    n = lambda end: count.select(F.col("word").alias(end), F.col("n").alias(f"n_{end}"))
+    swap = F.struct("n_b", "b") < F.struct("n_a", "a")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    ordered = (
+        pairs.join(n("a"), "a").join(n("b"), "b").select(either("a", "b"), either("b", "a"), either("n_a", "n_b"), either("n_b", "n_a"))
     )
-    sided = lambda blocks, side: F.transform(blocks, lambda x: F.struct(x.alias("block"), F.lit(side).alias("side")))
-    entries = people.select("key", F.explode(F.concat(sided(both, 0), sided(short, 1), sided(long, 2))).alias("e")).unionByName(
-        groups.select("key", F.explode(sided(of_group, 0)).alias("e"))
+    return (
+        ordered.join(used.select(F.col("word").alias("a"), "partner"), "a")
+        .join(used.select(F.col("word").alias("b"), "partner"), ["b", "partner"])
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
-    return entries.select("key", F.concat(F.lit("="), "e.block").alias("block"), "e.side").distinct()
 
 
-def blocks(keys: DataFrame) -> DataFrame:
-    """(key, block, side): the index entries of every key; side is 0 but for short and full names, see _exact_entries.
+def _given_forms(pairs: DataFrame) -> DataFrame:
+    """The uses of two given names that may stand for each other without being alike: (a, b, n_a, n_b, shared, learned).
 
-    A block of more than COMMON_BLOCK keys is divided by all the ways in which
-    two of its keys may name one person or organisation.
+    Short forms meet the names they begin or end.  Any two meet in some of the
+    surnames of the rarer one, those with the fewest given names and just so
+    many that a name that shares NICKNAME_SHARED of them shares one of these:
+    no pair is missed, and very frequent surnames are not gone through.
     """
-    word = F.explode(F.when(F.col("kind") == "person", F.array("given", "surname")).otherwise(F.col("words"))).alias("word")
-    entries = cut(
-        keys.select("key", "kind", word)
-        .where(F.length("word") > 1)
-        .select("key", F.explode(_suffixes(F.col("word"))).alias("suffix"), "kind")
-        .select("key", F.concat_ws("|", F.substring("kind", 1, 1), "suffix").alias("block"))
+    used = cut(pairs.select("word", "partner").distinct())
+    count = used.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def ends(word: list) -> list[tuple]:
+        out = []
+        for w in word:
+            if 3 <= len(w) <= LONGEST:
+                out += [(w, 1, "b" + stem_of(w)), (w, 1, "e" + w)]
+                out += [(w, 2, "b" + w[:i]) for i in range(3, len(w) + 1)] + [(w, 2, "e" + w[-i:]) for i in range(3, len(w) - 1)]
+            out += [(w, 1, "n" + w)] + ([(NICKNAMES[w], 2, "n" + w)] if w in NICKNAMES else [])
+        return out
+
+    entries = cut(map_lists(count.select("word"), ends, "word string, side int, block string"))
+    short = (
+        entries.where("side = 1").select(F.col("word").alias("a"), "block").join(entries.where("side = 2").select(F.col("word").alias("b"), "block"), "block")
+        .where(F.col("a") != F.col("b"))
+        .select("a", "b")
         .distinct()
     )
-    size = entries.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    sized = entries.join(size, "block")
-    done = sized.where(F.col("size") <= COMMON_BLOCK).select("key", "block", F.lit(0).alias("side"))
-    common = size.where(F.col("size") > COMMON_BLOCK).select("block")
-    big = common.where(F.col("block").startswith("p|")).select(F.lit("").alias("key"), "block").unionByName(
-        entries.where(F.col("block").startswith("o|")).join(common, "block").select("key", "block")
+
+    def compare(a: list, b: list) -> list[tuple]:
+        return [(x, y) for x, y in zip(a, b) if short_form(x, y)]
+
+    size = used.groupBy("partner").agg(F.count(F.lit(1)).alias("size"))
+    ranked = used.join(size, "partner").join(count, "word").where(F.col("n") >= LEAST_PARTNERS)
+    place = F.row_number().over(Window.partitionBy("word").orderBy("size", "partner"))
+    few = ranked.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (1 - NICKNAME_SHARED)) + 1).select(F.col("word").alias("a"), "partner", F.col("n").alias("n_a"))
+    any_ = (
+        few.join(used.select(F.col("word").alias("b"), "partner"), "partner")
+        .join(count.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+        .where(F.struct("n_a", "a") < F.struct("n_b", "b"))
+        .select("a", "b")
+        .distinct()
     )
-    return done.unionByName(_exact_entries(keys, big))
+    known = map_lists(short, compare, "a string, b string").withColumn("learned", F.lit(False))
+    every = cut(known.unionByName(any_.withColumn("learned", F.lit(True))).groupBy("a", "b").agg(F.min("learned").alias("learned")))
+    flags = every.select("a", "b", "learned").unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "learned"))
+    return _shared(every.select("a", "b"), used, count).join(flags.groupBy("a", "b").agg(F.min("learned").alias("learned")), ["a", "b"])
+
+
+def dunning(k: Column, n: Column, k_other: Column, n_other: Column) -> Column:
+    """Log-likelihood ratio that an event is likelier in the first sample; 0 if it is not."""
+
+    def part(k: Column, n: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
+    p = (k + k_other) / (n + n_other)
+    value = 2 * (part(k, n, k / n) + part(k_other, n_other, k_other / n_other) - part(k, n, p) - part(k_other, n_other, p))
+    return F.when((n > 0) & (n_other > 0) & (k / n > k_other / n_other), value).otherwise(F.lit(0.0))
+
+
+def variants(pairs: DataFrame, given: bool) -> DataFrame:
+    """(a, b): words of a field (word, partner) that spell one; for given names short forms and nicknames too."""
+    enough = F.col("shared") >= LEAST_SHARED * F.col("n_a")
+    found = _alike_words(pairs, GIVEN_RATIO if given else SURNAME_RATIO).where(enough).select("a", "b")
+    if given:
+        forms = _given_forms(pairs)
+        total = pairs.select("partner").distinct().agg(F.count(F.lit(1)).alias("total"))
+        # One row: the number of surnames.
+        surprise = dunning(F.col("shared"), F.col("n_a"), F.col("n_b") - F.col("shared"), F.col("total") - F.col("n_a"))
+        nickname = (
+            (F.col("n_a") >= LEAST_PARTNERS)
+            & (F.col("shared") >= NICKNAME_SHARED * F.col("n_a"))
+            & (F.col("n_a") < NICKNAME_USES * F.col("n_b"))
+            & (surprise >= NICKNAME)
+        )
+        forms = forms.crossJoin(F.broadcast(total)).where(enough & (~F.col("learned") | nickname))
+        found = found.unionByName(forms.select("a", "b"))
+    return found.distinct()
+
+
+def _organisation_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b) of the keys of organisations that have a word's suffix in common; common ones are refined by the other words."""
+    words = F.col("words")
+    groups = keys.where(F.col("kind") == "organisation").select("key", "words")
+    begins = lambda words: F.array_join(F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 3))), " ")
+    rest = lambda i: F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
+    # Words that are equal or abbreviated begin alike; the one misspelt word is left out.
+    refined = groups.select(F.col("key").alias("item"), F.explode(F.array_append(F.transform(words, lambda w, i: begins(rest(i))), begins(words))).alias("by"))
+    entries = groups.select(F.col("key").alias("item"), F.explode(words).alias("word")).select("item", F.explode(_suffixes(F.col("word"))).alias("block"))
+    met = _met(entries.distinct(), refined.distinct())
+
+    def compare(a: list, b: list) -> list[tuple]:
+        return [(x, y) for x, y in zip(a, b) if same_organisation(x.split("|")[4].split(" "), y.split("|")[4].split(" "))]
+
+    return map_lists(met, compare, "a string, b string")
 
 
 def linked_keys(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(name, key) of every name, and (a, b) for keys that name one person or organisation."""
+    """(name, key) of every name, and (a, b) for keys that name one person or organisation.
+
+    Keys with the same surname and given name are linked unless their initials
+    differ; so are keys whose surname or given name is a variant of the other's
+    and whose other name is the same, keys with the two swapped, and double
+    given names with and without their second part.  A key with initials only
+    is linked if it fits one author.
+    """
     key = F.concat_ws("|", F.substring("kind", 1, 1), "given", "initials", "surname", F.array_join("words", " "))
     keyed = cut(named.withColumn("key", key))
     keys = keyed.select("key", "kind", "given", "initials", "surname", "words").distinct()
-    people = keys.where(F.col("kind") == "person")
-    support = people.groupBy("surname").agg(F.count(F.lit(1)).alias("support"))
-    givens = people.where(F.length("given") > 0).groupBy("given").agg(F.count_distinct("surname").alias("uses"))
-    most = givens.agg(F.max("uses").alias("most"))
-    givens = givens.join(F.broadcast(most)).select("given", (F.col("uses") >= F.greatest(F.lit(4), 0.1 * F.col("most"))).alias("known"))
-    keys = cut(
-        keys.join(support, "surname", "left")
-        .join(givens, "given", "left")
-        .select("key", "kind", "given", "initials", "surname", "words", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("known", F.lit(False)).alias("known"))
+    people = cut(keys.where(F.col("kind") == "person").select("key", "given", "initials", "surname"))
+    full = people.where(F.length("given") > 0)
+    names = cut(full.select("given", "surname").distinct())
+    given = cut(variants(names.select(F.col("given").alias("word"), F.col("surname").alias("partner")), True))
+    surname = cut(variants(names.select(F.col("surname").alias("word"), F.col("given").alias("partner")), False))
+    # What a full key may be written as instead: (key, given, surname, initials).
+    forms = (
+        full.join(given.select(F.col("a").alias("given"), F.col("b").alias("other")), "given").select("key", F.col("other").alias("given"), "surname", "initials")
+        .unionByName(full.join(surname.select(F.col("a").alias("surname"), F.col("b").alias("other")), "surname").select("key", "given", F.col("other").alias("surname"), "initials"))
+        .unionByName(full.select("key", F.col("surname").alias("given"), F.col("given").alias("surname"), "initials"))
+        .unionByName(full.where(F.col("given").contains("-")).select("key", F.explode(F.array(F.replace("given", F.lit("-"), F.lit("")), F.substring_index("given", "-", 1))).alias("given"), "surname", "initials"))
     )
-    entries = cut(blocks(keys))
-    alike = entries.where(F.col("side") == 0)
-    short, long = entries.where(F.col("side") == 1), entries.where(F.col("side") == 2)
-    pairs = (
-        alike.alias("x")
-        .join(alike.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") < F.col("y.key")))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .unionByName(
-            short.alias("x")
-            .join(long.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.key") != F.col("y.key")))
-            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-        )
-        # The key holds the fields; a pair of people shares the surname or the given name, or has them swapped.
-        .where(
-            ~F.col("a").startswith("p|")
-            | (F.split_part("a", F.lit("|"), F.lit(4)) == F.split_part("b", F.lit("|"), F.lit(4)))
-            | (F.split_part("a", F.lit("|"), F.lit(2)) == F.split_part("b", F.lit("|"), F.lit(2)))
-            | (F.split_part("a", F.lit("|"), F.lit(2)) == F.split_part("b", F.lit("|"), F.lit(4)))
-        )
-        .distinct()
+    first = lambda c: F.substring(c, 1, 1)
+    agree = (F.col("initials") == "") | (F.col("i") == "") | (first("initials") == first("i"))
+    other = full.select(F.col("key").alias("b"), "given", "surname", F.col("initials").alias("i"))
+    varied = forms.join(other, ["given", "surname"]).where(agree & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
+    # Keys of one full name: all are linked through the smallest if one has no initials, else those with the same first one.
+    names_of = full.groupBy("given", "surname").agg(F.min(F.when(F.col("initials") == "", F.col("key"))).alias("plain"))
+    initialled = full.groupBy("given", "surname", first("initials").alias("i")).agg(F.min("key").alias("least"))
+    same = (
+        full.withColumn("i", first("initials"))
+        .join(names_of, ["given", "surname"])
+        .join(initialled, ["given", "surname", "i"])
+        .select("key", F.explode(F.array_compact(F.array("plain", "least"))).alias("b"))
+        .where(F.col("key") != F.col("b"))
+        .select(F.col("key").alias("a"), "b")
     )
-    fields = keys.select("key", F.struct("kind", "given", "initials", "surname", "words", "support", "known").alias("f"))
-    both = pairs.join(fields.select(F.col("key").alias("a"), F.col("f").alias("fa")), "a").join(
-        fields.select(F.col("key").alias("b"), F.col("f").alias("fb")), "b"
+    short = people.where(F.col("given") == "").select(F.col("key").alias("a"), "surname", F.col("initials").alias("ia"), first("initials").alias("letter"))
+    begun = lambda x, y: F.col(x).startswith(F.col(y)) | F.col(y).startswith(F.col(x))
+    alone = (
+        short.join(short.select(F.col("a").alias("b"), "surname", F.col("ia").alias("ib"), "letter"), ["surname", "letter"])
+        .where((F.col("a") < F.col("b")) & begun("ia", "ib"))
+        .select("a", "b")
     )
+    sure = cut(varied.unionByName(same).unionByName(alone).unionByName(_organisation_pairs(keys)))
+    # Initials alone belong to the one author they fit; where they fit several they link nothing.
+    classes = components(sure)
+    letter = F.substring(F.concat("given", "initials"), 1, 1)
+    longer = full.select(F.col("key").alias("full"), "surname", "given", "initials", F.explode(F.array(letter, F.lit(""))).alias("letter"))
 
-    def rows(a: list, b: list, fa: list, fb: list) -> list[tuple]:
-        out = []
-        for ka, kb, x, y in zip(a, b, fa, fb):
-            if x["kind"] == "organisation":
-                if same_organisation(x["words"], y["words"]):
-                    out.append((ka, kb, "organisation", None, None))
-                continue
-            how = same_person(*((z["given"], z["initials"], z["surname"], z["support"], z["known"]) for z in (x, y)))
-            if how:
-                short, full = (ka, y) if how == "initials" and not x["given"] else (kb, x)
-                out.append((ka, kb, how, short if how == "initials" else None, full["given"] if how == "initials" else None))
-        return out
+    def fits(short: list, ia: list, full: list, given: list, initials: list) -> list[tuple]:
+        return [(s, f) for s, a, f, g, i in zip(short, ia, full, given, initials) if initials_fit(g, a, i)]
 
-    edges = cut(map_lists(both.select("a", "b", "fa", "fb"), rows, "a string, b string, how string, short string, given string"))
-    sure = edges.where(F.col("how") != "initials").select("a", "b")
-    # Initials alone belong to the one author they fit; where they fit several given names they link nothing.
-    classes = components(sure)
-    open_ = edges.where(F.col("how") == "initials").withColumn("full", F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    met = short.join(longer, ["surname", "letter"]).select(F.col("a").alias("short"), "ia", "full", "given", "initials")
+    open_ = map_lists(met, fits, "short string, full string")
     classed = open_.join(classes.withColumnRenamed("node", "full"), "full", "left").withColumn("of", F.coalesce("component", "full"))
-    single = classed.groupBy("short").agg(F.count_distinct("of").alias("n"), F.min("full").alias("full")).where(F.col("n") == 1)
+    single = classed.groupBy("short").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min("full").alias("full")).where(F.col("least") == F.col("most"))
     return keyed.select("name", "key"), sure.unionByName(single.select(F.col("short").alias("a"), F.col("full").alias("b")))
 
 
