@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from paperlake.llm.glyphs import repair
 from paperlake.llm.graph import components
 from paperlake.llm.inputs import map_lists
+from paperlake.llm.likelihood import dunning
 from paperlake.session import cut
 
 LEAST_SUFFIX = 4
@@ -389,18 +390,6 @@ def _given_forms(pairs: DataFrame) -> DataFrame:
     return _shared(every.select("a", "b"), used, count).join(flags.groupBy("a", "b").agg(F.min("learned").alias("learned")), ["a", "b"])
 
 
-def dunning(k: Column, n: Column, k_other: Column, n_other: Column) -> Column:
-    """Log-likelihood ratio that an event is likelier in the first sample; 0 if it is not."""
-
-    def part(k: Column, n: Column, p: Column) -> Column:
-        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-        return k * F.log(p) + (n - k) * F.log(1 - p)
-
-    p = (k + k_other) / (n + n_other)
-    value = 2 * (part(k, n, k / n) + part(k_other, n_other, k_other / n_other) - part(k, n, p) - part(k_other, n_other, p))
-    return F.when((n > 0) & (n_other > 0) & (k / n > k_other / n_other), value).otherwise(F.lit(0.0))
-
-
 def variants(pairs: DataFrame, given: bool) -> DataFrame:
     """(a, b): words of a field (word, partner) that spell one; for given names short forms and nicknames too."""
     enough = F.col("shared") >= LEAST_SHARED * F.col("n_a")

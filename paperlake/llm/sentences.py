@@ -1,15 +1,18 @@
 """Sentence boundaries across languages and scripts.
 
 What ends a sentence is learned per language from the whole corpus, without
-labels.  A first pass counts, per Arrow batch, how often every short word
-stands with and without a period and what follows it, and what begins after a
-sure sentence end.  From the summed counts come
+labels.  A first pass counts, per Arrow batch, how often every word stands with
+and without a period, what follows it, and what begins after a sure sentence
+end.  The counts are summed and decided upon in the cluster:
 
 - abbreviations: log-likelihood ratio of a word and its period, scaled by
-  length and inner periods, unless nearly always a new sentence follows;
+  length, inner periods and the share of its uses without one, unless mostly a
+  new sentence follows;
 - sentence starters: log-likelihood ratio of a word and the place after a sure
   sentence end; for scripts without case, of its first characters there
   against the place after a quotation or after foreign letters;
+- collocations: log-likelihood ratio of a number or initial with its period and
+  the capitalised word after it;
 - whether a number with a period is an ordinal.
 
 A second pass classifies every mark with these.
@@ -17,7 +20,6 @@ A second pass classifies every mark with these.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from typing import NamedTuple
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.glyphs import CYRILLIC_LATIN, INVISIBLE, SPACES, WORD, one_script
 from paperlake.llm.inputs import map_lists
+from paperlake.llm.likelihood import dunning, log_likelihood
 from paperlake.llm.words import language
 from paperlake.session import cut
 
@@ -35,12 +38,11 @@ OPENERS = "\"'“‘«([（「『【„‹¿¡"
 _MARK = re.compile(f"(\\.{{2,}}|[.!?…。！？।॥‽]+)([{re.escape(CLOSERS)}]*(?: »)?)")
 _BEFORE = re.compile(r"[^\s\"'“”„«»()\[\]（）「」]+$")
 _NEXT = re.compile(f"[{re.escape(OPENERS)} ]*([^\\W_]+|.)", re.S)
-# A piece of a word broken at the end of a line is no word.
-_SHORT_WORD = re.compile(r"(?<![\w.\-])(?<!-\n)[^\W\d_]{1,6}(?![\w.\-])")
-_DOTTED = re.compile(r"(?<![\w.\-])(?<!-\n)(?:[^\W\d_]{1,6}\.)+")
-_UPPER = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*")
-_PAIR = re.compile(r"(?<![\w.\-])(?<!-\n)((?:[^\W\d_]{1,6}\.)*[^\W\d_]{1,6}|\d[\d.,]*)\.(?=\s+[\"'(„«“‘\[]*\s?(\w+))")
-_START = re.compile(r"(?:\A|\n\s*\n|[a-zß-öø-ÿа-яё]{4,}(?:\.|\s?[!?]))[\"”»)]*\s+[\"'(„«“‘\[]*\s?([^\W\d_]+)|\A[\"'(„«“‘\[]*\s?([^\W\d_]+)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DOTTED = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*")
+_SURE_END = re.compile(f"(?:[a-zß-öø-ÿа-яё]{{4,}}[.!?]|[!?])[{re.escape(CLOSERS)}]*$")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_AROUND = OPENERS + CLOSERS + ",;:!?…"
 _SPACE = re.compile(r"\s*")
 _ODD = re.compile(f"[{INVISIBLE}{SPACES}！-～]|[̀-ͯ]")
 _THAI_GAP = re.compile(r"(\S)(\s+)(?=[\u0e00-\u0e7f])")
@@ -53,12 +55,15 @@ PREFIX = {"zh": 1, "ja": 1, "th": 3}
 
 # Thresholds of the classifiers.
 ABBREVIATION = 0.3  # scaled log-likelihood ratio of a word and its period
+WITHOUT = 100  # uses of a word among which those without a period count against it
 STARTER = 30.0  # log-likelihood ratio of a word and the place after a sentence end
-SHORT = 6  # letters; only words up to this length can be abbreviations
-ENDS_ANYWAY = 0.95  # share of a new sentence following, from which a word is no abbreviation
+COLLOCATION = 7.88  # log-likelihood ratio of a number or initial and the word after it,
+LEAST_TIMES = 5  # which stand together so often at least
+ENDS_ANYWAY = 0.85  # share of a new sentence following, from which a word is no abbreviation
 INSIDE = 5  # how much likelier a beginning must be inside sentences than after their ends to begin none
-LEAST_SHARE = 1e-6  # of all counts of a kind and language; rarer words can't be significant
 MAY_CLOSE = 0.2  # the same, from which an abbreviation may end a sentence
+#: Learned words up to this number are broadcast (some 20 MB at most); more are joined to the texts that hold them.
+MOST_BROADCAST = 200_000
 
 
 class Model(NamedTuple):
@@ -66,7 +71,16 @@ class Model(NamedTuple):
     numeric: frozenset = frozenset()  # abbreviations that a number follows
     closing: frozenset = frozenset()  # abbreviations that may end a sentence
     starters: frozenset = frozenset()
-    ordinals: bool = False
+    collocations: frozenset = frozenset()  # a number (##) or initial, a space, and the word after it
+    ordinals: frozenset = frozenset()  # ## if a number with a period is one
+
+
+def model_of(words: list[tuple[str, str]]) -> Model:
+    """The model of learned words (what, word)."""
+    kinds: dict[str, set[str]] = defaultdict(set)
+    for what, word in words:
+        kinds[what].add(word)
+    return Model(*(frozenset(kinds[f]) for f in Model._fields))
 
 
 def clean(text: str) -> tuple[str, list[int] | None]:
@@ -105,6 +119,7 @@ def candidates(text: str) -> list[Candidate]:
     for m in _MARK.finditer(text):
         end = m.end()
         gap = _SPACE.match(text, end).group()
+        # What is learned is no longer than this.
         b = _BEFORE.search(text, max(0, m.start() - 40), m.start())
         n = _NEXT.match(text, end + len(gap))
         after = n.group(1) if n else ""
@@ -139,7 +154,7 @@ def _beginning(text: str, lang: str, c: Candidate) -> str:
 
 
 def learn_from(text: str, lang: str, counts: dict[tuple[str, str], Counter]) -> None:
-    """Add the evidence of one text; keys are (language, kind of count)."""
+    """Add the evidence of one text; keys are (language, kind of count).  Tokens are read by settled()."""
     text, _ = clean(text)
     if lang == "th":
         for m in _THAI_GAP.finditer(text):
@@ -152,96 +167,79 @@ def learn_from(text: str, lang: str, counts: dict[tuple[str, str], Counter]) ->
             if c.mark[0] in own and c.after:
                 counts[lang, "inside" if c.closers else "start"][_beginning(text, lang, c)] += 1
         return
-    lower = text.lower()
-    count = counts[lang, "word"]
-    count.update(_SHORT_WORD.findall(lower))
-    dotted = [w[:-1] for w in _DOTTED.findall(lower) if len(w) <= SHORT + 1]
-    count.update(dotted)
-    counts[lang, "period"].update(dotted)
-    count[""] += lower.count(" ") + lower.count("\n") + 1
-    count["."] += lower.count(".")
-    counts[lang, "upper"].update(_UPPER.findall(text))
-    counts[lang, "pair"].update(_PAIR.findall(text))
-    counts[lang, "start"].update(a or b for a, b in _START.findall(text))
-
-
-def summed_pairs(pairs: Counter) -> Counter:
-    """Pairs of a batch as text: the word or ## for a number, a space, and the next word or its class."""
-    out: Counter = Counter()
-    for (before, after), n in pairs.items():
-        like = _starts_like(after)
-        token = "##" if is_number(before) else before.lower()
-        out[token + " " + (after if like == "upper" else "\n" + like)] += n
-    return out
-
-
-def _likelihood(k: float, n: float, p: float) -> float:
-    p = min(max(p, 1e-12), 1 - 1e-12)
-    return k * math.log(p) + (n - k) * math.log(1 - p)
-
-
-def dunning(k: int, n: int, k_other: int, n_other: int) -> float:
-    """Log-likelihood ratio that an event is likelier in the first sample; 0 if it is not."""
-    if not n or not n_other or k / n <= k_other / n_other:
-        return 0.0
-    p = (k + k_other) / (n + n_other)
-    return 2 * (
-        _likelihood(k, n, k / n)
-        + _likelihood(k_other, n_other, k_other / n_other)
-        - _likelihood(k, n, p)
-        - _likelihood(k_other, n_other, p)
-    )
-
-
-def abbreviation_score(word: str, with_period: int, total: int, periods: int, n: int) -> float:
-    """Log-likelihood ratio of word and period against a period by chance, scaled by length and inner periods."""
-    p = periods / n if n else 0.5
-    ratio = 2 * (_likelihood(with_period, total, 0.99) - _likelihood(with_period, total, p))
-    letters = len(word.replace(".", "")) or 1
-    inner = word.count(".") + 1
-    return ratio * inner * math.exp(-letters - math.log(letters) * (total - with_period))
-
-
-def decide(lang: str, kinds: dict[str, dict[str, int]]) -> Model:
-    """The model of one language from its summed counts."""
-    start, inside = kinds.get("start", {}), kinds.get("inside", {})
-    if lang in CASELESS:
-        n, m = sum(start.values()), sum(inside.values())
-        return Model(starters=frozenset(k for k, v in start.items() if INSIDE * v / n > inside.get(k, 0) / max(m, 1)))
-    words, period, upper = kinds.get("word", {}), kinds.get("period", {}), kinds.get("upper", {})
-    n_start, n_upper = start.get("", 0), sum(upper.values())
-    starters = frozenset(
-        w
-        for w, k in start.items()
-        if w and dunning(k, n_start, max(0, upper.get(w, 0) - k), max(1, n_upper - n_start)) > STARTER
-    )
-    follows: dict[str, Counter] = defaultdict(Counter)
-    for pair, k in kinds.get("pair", {}).items():
-        token, _, after = pair.partition(" ")
-        follows[token]["new" if after in starters else after[1:] if after[0] == "\n" else "other"] += k
-    short, numeric, closing = set(), set(), set()
-    for w, k in period.items():
-        f = follows.get(w, Counter())
-        n = sum(f.values())
-        if n >= 5 and f["digit"] > 0.5 * n:
-            numeric.add(w)
-        elif abbreviation_score(w, k, max(k, words.get(w, 0)), words.get(".", 1), words.get("", 1)) >= ABBREVIATION:
-            if f["new"] < ENDS_ANYWAY * n or not n:
-                short.add(w)
-                if f["new"] > MAY_CLOSE * n:
-                    closing.add(w)
-    f = follows.get("##", Counter())
-    ordinal = f["other"] > f["new"]
-    return Model(frozenset(short), frozenset(numeric), frozenset(closing), starters, ordinal)
-
-
-def learn(texts: DataFrame, column: str = "content") -> dict[str, Model]:
-    """Models of all languages from every text of a column.
-
-    The counts are summed in the cluster.  What reaches the driver are words
-    seen twice or more that make up at least LEAST_SHARE of their kind in a
-    language; there are at most 1 / LEAST_SHARE of these, however large the
-    corpus is.
+    for paragraph in _PARAGRAPH.split(text) if "\n" in text else (text,):
+        # A word broken at the end of a line is put together with its hyphen, and so is no word.
+        tokens = paragraph.replace("-\n", "-").split()
+        if tokens:
+            counts[lang, "token"].update(tokens)
+            counts[lang, "first"][tokens[0]] += 1
+            counts[lang, "next"].update([(a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] in _MAY_END])
+
+
+_MAY_END = frozenset(".!?" + CLOSERS)
+
+
+def _word_after(token: str) -> str:
+    m = _LETTERS.match(token.lstrip(OPENERS))
+    return m.group() if m else ""
+
+
+def _abbreviated(token: str) -> str | None:
+    """The word of a token that ends in one period, in lower case; ## for a number; None for others."""
+    core = token.lstrip(OPENERS)
+    if len(core) < 2 or core[-1] != "." or core[-2] == "." or len(core) > 41:
+        return None
+    core = core[:-1]
+    if core[0].isdigit() and is_number(core):
+        return "##"
+    return core.lower() if _DOTTED.fullmatch(core) else None
+
+
+def settled(counts: dict[tuple[str, str], Counter]) -> list[tuple[str, str, str, int]]:
+    """(language, kind, word, n) of a batch, from the counts of its distinct tokens."""
+    out: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for (lang, kind), count in counts.items():
+        if lang in CASELESS:
+            out[lang, kind].update(count)
+        elif kind == "token":
+            out[lang, "total"]["tokens"] += count.total()
+            for token, n in count.items():
+                word = _abbreviated(token)
+                out[lang, "total"]["periods"] += n * token.endswith(".")
+                core = token.strip(_AROUND)
+                if word and word != "##":
+                    out[lang, "period"][word] += n
+                elif len(core) <= 40 and _LETTERS.fullmatch(core):
+                    out[lang, "word"][core.lower()] += n
+                if core[:1].isupper():
+                    out[lang, "upper"][_LETTERS.match(core).group()] += n
+        elif kind == "first":
+            for token, n in count.items():
+                out[lang, "start"][_word_after(token)] += n
+        else:
+            for (token, after), n in count.items():
+                if _SURE_END.search(token):
+                    out[lang, "start"][_word_after(after)] += n
+                if word := _abbreviated(token):
+                    begin = _word_after(after) or after.lstrip(OPENERS)
+                    like = _starts_like(begin)
+                    if like != "end":
+                        out[lang, "pair"][word + " " + (begin if like == "upper" else "\n" + like)] += n
+    for (lang, kind), count in list(out.items()):
+        if kind == "start" and lang not in CASELESS:
+            out[lang, "total"]["starts"] += count.total()
+            out[lang, kind] = Counter({w: n for w, n in count.items() if w[:1].isupper()})
+        elif kind == "upper":
+            out[lang, "total"]["uppers"] += count.total()
+    return [(lang, kind, w, n) for (lang, kind), x in out.items() for w, n in x.items()]
+
+
+def learn(texts: DataFrame, column: str = "content") -> DataFrame:
+    """(lang, what, word): what the texts of a column show; `what` is a field of Model.
+
+    Every text counts, and no word is left out for being rare.  Counts are
+    summed and decided upon in the cluster; decisions rest on rates and on
+    significance, which more data only make surer.
     """
 
     def rows(content: list) -> list[tuple]:
@@ -249,70 +247,74 @@ def learn(texts: DataFrame, column: str = "content") -> dict[str, Model]:
         for c in content:
             if c:
                 learn_from(c, language(c), counts)
-        out = []
-        for (lang, kind), x in counts.items():
-            if kind == "pair":
-                x = summed_pairs(x)
-            elif kind == "start" and lang not in CASELESS:
-                out.append((lang, kind, "", x.total()))
-                x = {w: n for w, n in x.items() if w[0].isupper()}
-            out += [(lang, kind, w, n) for w, n in x.items()]
-        return out
+        return settled(counts)
 
-    summed = (
+    summed = cut(
         map_lists(texts.select(F.col(column).alias("content")).where(F.length("content") > 0), rows, "lang string, kind string, word string, n bigint")
         .groupBy("lang", "kind", "word")
         .agg(F.sum("n").alias("n"))
     )
-    # Capitalised words that never begin a sentence, and words seen once, decide nothing but the totals.
-    summed = cut(summed)
-    totals = summed.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    counted = summed.join(F.broadcast(totals), ["lang", "kind"]).where(
-        (F.col("word") == "") | (F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * F.col("total"))
-    ).drop("total")
-    started = counted.where(F.col("kind") == "start").select("lang", "word")
-    upper = summed.where(F.col("kind") == "upper")
-    rest_of_upper = upper.join(started, ["lang", "word"], "left_anti").groupBy("lang").agg(F.sum("n").alias("n"))
-    short = counted.where(F.col("kind") == "period").select("lang", "word").where(F.length("word") > 0)
-    needed = (
-        counted.where(F.col("kind").isin("start", "inside", "period"))
-        .unionByName(upper.join(counted.where(F.col("kind") == "start").select("lang", "word"), ["lang", "word"], "left_semi"))
-        .unionByName(
-            summed.where(F.col("kind") == "word").join(
-                short.unionByName(
-                    summed.where((F.col("kind") == "word") & F.col("word").isin("", ".")).select("lang", "word")
-                ).distinct(),
-                ["lang", "word"],
-                "left_semi",
-            )
-        )
-        .unionByName(_pair_classes(summed, started).join(short.withColumnRenamed("word", "first").unionByName(_numbers(summed)), ["lang", "first"], "left_semi").drop("first"))
-        .unionByName(rest_of_upper.select("lang", F.lit("upper").alias("kind"), F.lit("\n").alias("word"), "n"))
+    kind = lambda k, n: summed.where(F.col("kind") == k).select("lang", "word", F.col("n").alias(n))
+    # One row for each language.
+    totals = F.broadcast(
+        summed.where(F.col("kind") == "total")
+        .groupBy("lang")
+        .agg(*(F.coalesce(F.sum(F.when(F.col("word") == w, F.col("n"))), F.lit(0)).alias(f"n_{w}") for w in ("tokens", "periods", "starts", "uppers")))
     )
-    by: dict[str, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
-    for r in needed.toLocalIterator():
-        by[r.lang][r.kind][r.word] = r.n
-    return {lang: decide(lang, kinds) for lang, kinds in by.items()}
-
-
-def _numbers(summed: DataFrame) -> DataFrame:
-    """The sign that stands for all numbers, for every language."""
-    return summed.select("lang", F.lit("##").alias("first")).distinct()
-
-
-def _pair_classes(summed: DataFrame, started: DataFrame) -> DataFrame:
-    """Pairs whose second word begins sentences somewhere stay as they are; all others of a first word are added up."""
-    pairs = summed.where(F.col("kind") == "pair").select(
-        "lang", F.substring_index("word", " ", 1).alias("first"), F.substring_index("word", " ", -1).alias("second"), "n"
+    caseless = F.col("lang").isin(*CASELESS)
+    at = F.broadcast(
+        summed.where(caseless)
+        .groupBy("lang")
+        .agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("start", "inside")))
     )
-    known = started.select("lang", F.col("word").alias("second"), F.lit(True).alias("starts"))
-    classed = pairs.join(known, ["lang", "second"], "left").withColumn(
-        "second", F.when(F.col("starts") | F.col("second").startswith("\n"), F.col("second")).otherwise(F.lit("\nother"))
+    begun = (
+        kind("start", "k").where(caseless).join(kind("inside", "j"), ["lang", "word"], "left").join(at, "lang")
+        .where(INSIDE * F.col("k") / F.col("n_start") > F.coalesce("j", F.lit(0)) / F.greatest("n_inside", F.lit(1)))
+        .select("lang", "word")
     )
-    return (
-        classed.groupBy("lang", "first", F.concat_ws(" ", "first", "second").alias("word"))
-        .agg(F.sum("n").alias("n"))
-        .select("lang", "first", F.lit("pair").alias("kind"), "word", "n")
+    upper = kind("upper", "u")
+    surprise = dunning(F.col("k"), F.col("n_starts"), F.greatest(F.col("u") - F.col("k"), F.lit(0)), F.greatest(F.col("n_uppers") - F.col("n_starts"), F.lit(1)))
+    starters = cut(
+        kind("start", "k").where(~caseless).join(upper, ["lang", "word"], "left").na.fill(0, ["u"]).join(totals, "lang").where(surprise > STARTER).select("lang", "word")
+        .unionByName(begun)
+    )
+    pairs = kind("pair", "k").select("lang", F.substring_index("word", " ", 1).alias("first"), F.substring_index("word", " ", -1).alias("after"), "k")
+    pairs = pairs.join(starters.select("lang", F.col("word").alias("after"), F.lit(True).alias("starts")), ["lang", "after"], "left")
+    classed = F.when(F.col("starts"), "new").when(F.col("after").startswith("\n"), F.substr("after", F.lit(2))).otherwise("other")
+    one = lambda c: F.coalesce(F.sum(F.when(classed == c, F.col("k"))), F.lit(0)).alias(c)
+    follows = pairs.groupBy("lang", "first").agg(F.sum("k").alias("n"), one("new"), one("digit"), one("other"))
+    n_first = follows.select("lang", "first", F.col("n").alias("n_first"))
+    told = (
+        kind("period", "k").join(kind("word", "plain"), ["lang", "word"], "left")
+        .join(follows.withColumnRenamed("first", "word"), ["lang", "word"], "left")
+        .na.fill(0, ["plain", "n", "new", "digit", "other"])
+        .join(totals, "lang")
+    )
+    total = F.col("k") + F.col("plain")
+    letters = F.length(F.replace("word", F.lit("."), F.lit("")))
+    inner = F.length("word") - letters + 1
+    ratio = 2 * (log_likelihood(F.col("k"), total, F.lit(0.99)) - log_likelihood(F.col("k"), total, F.col("n_periods") / F.col("n_tokens")))
+    score = ratio * inner * F.exp(-letters - F.log(letters) * WITHOUT * F.col("plain") / total)
+    numeric = (F.col("n") >= 5) & (F.col("digit") > 0.5 * F.col("n"))
+    short = ~numeric & (score >= ABBREVIATION) & (F.col("new") < ENDS_ANYWAY * F.col("n"))
+    closing = short & (F.col("new") > MAY_CLOSE * F.col("n"))
+    marks = F.array_compact(F.array(F.when(numeric, "numeric"), F.when(short, "abbreviations"), F.when(closing, "closing")))
+    together = dunning(F.col("k"), F.col("n_first"), F.greatest(F.col("u") - F.col("k"), F.lit(0)), F.greatest(F.col("n_uppers") - F.col("n_first"), F.lit(1)))
+    collocations = (
+        pairs.where((F.length("first") == 1) | (F.col("first") == "##")).where(F.col("starts").isNull() & ~F.col("after").startswith("\n"))
+        .join(n_first, ["lang", "first"])
+        .join(upper.withColumnRenamed("word", "after"), ["lang", "after"])
+        .join(totals, "lang")
+        .where((F.col("k") >= LEAST_TIMES) & (together > COLLOCATION))
+        .select("lang", F.lit("collocations").alias("what"), F.concat_ws(" ", "first", "after").alias("word"))
+    )
+    return cut(
+        starters.select("lang", F.lit("starters").alias("what"), "word")
+        .unionByName(told.select("lang", F.explode(marks).alias("what"), "word"))
+        .unionByName(collocations)
+        .unionByName(
+            follows.where((F.col("first") == "##") & (F.col("other") > F.col("new"))).select("lang", F.lit("ordinals").alias("what"), F.col("first").alias("word"))
+        )
     )
 
 
@@ -339,9 +341,10 @@ def _ends(c: Candidate, lang: str, model: Model, text: str) -> bool:
         # The first word of a sentence that no space parts from the one before.
         token = token.rpartition(".")[2]
     if is_number(c.before):
-        return like != "upper" or not model.ordinals or c.after in model.starters
+        return like != "upper" or c.after in model.starters or not model.ordinals and "## " + c.after not in model.collocations
     if len(c.before) == 1 and c.before.isupper() and not c.closers:
-        return False
+        # An initial; a letter such as that of vitamin C ends a sentence where a known one begins.
+        return c.after in model.starters and token + " " + c.after not in model.collocations
     if token in model.numeric and not c.closers and like == "digit":
         return False
     if (token in model.abbreviations or token in model.numeric) and not c.closers:
@@ -371,29 +374,76 @@ def sentence_ends(text: str, lang: str, model: Model) -> list[int]:
     return out if at is None else [at[e - 1] + 1 if e else 0 for e in out]
 
 
-def sentences(texts: DataFrame, models: dict[str, Model], keys: tuple[str, ...], column: str = "content") -> DataFrame:
+def lookups(text: str, lang: str) -> set[str]:
+    """Every word that _ends() may ask a model for in a text."""
+    body, _ = clean(text)
+    out = {"##"}
+    for c in candidates(body):
+        token = c.before.lower()
+        out.update((token, token.rpartition(".")[2], c.after, "## " + c.after, token + " " + c.after))
+        if lang in CASELESS and c.after:
+            out.add(_beginning(body, lang, c))
+    if lang == "th":
+        out.update(body[m.end() : m.end() + PREFIX["th"]] for m in _THAI_GAP.finditer(body))
+    return out
+
+
+def sentences(texts: DataFrame, learned: DataFrame, keys: tuple[str, ...], column: str = "content") -> DataFrame:
     """keys..., sentence_no, start_char, end_char, sentence for every sentence of every text.
 
-    Offsets are in code points.  Null, empty and blank texts give no rows; a
-    text without any mark is one sentence, however long; repeated rows give
-    repeated rows; other columns are ignored.
+    `learned` comes from learn().  While it has few words it is broadcast;
+    otherwise each text is joined with those it holds.  Both ways give the same
+    rows.  Offsets are in code points.  Null, empty and blank texts give no
+    rows; a text without any mark is one sentence, however long; repeated rows
+    give repeated rows; other columns are ignored.
     """
     base = texts.select(*keys, F.col(column).alias("content")).where(F.length("content") > 0)
     types = {f.name: f.dataType.simpleString() for f in base.schema}
-    shared = texts.sparkSession.sparkContext.broadcast(models)
-    nothing = Model()
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sentence_no int, start_char int, end_char int, sentence string"
 
-    def rows(*columns: list) -> list[tuple]:
+    def divided(key: list, text: str, lang: str, model: Model) -> list[tuple]:
+        out, start = [], 0
+        for i, end in enumerate(sentence_ends(text, lang, model)):
+            while start < end and text[start].isspace():
+                start += 1
+            out.append((*key, i, start, end, text[start:end]))
+            start = end
+        return out
+
+    few = learned.limit(MOST_BROADCAST + 1).collect()
+    if len(few) <= MOST_BROADCAST:
+        of: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        for r in few:
+            of[r.lang].append((r.what, r.word))
+        shared = texts.sparkSession.sparkContext.broadcast({lang: model_of(words) for lang, words in of.items()})
+        nothing = Model()
+
+        def rows(*columns: list) -> list[tuple]:
+            out = []
+            for *key, text in zip(*columns):
+                lang = language(text)
+                out += divided(key, text, lang, shared.value.get(lang, nothing))
+            return out
+
+        return map_lists(base, rows, schema)
+
+    hashed = base.withColumn("text_hash", F.sha2("content", 256))
+    one = hashed.select("text_hash", "content").dropDuplicates(["text_hash"])
+
+    def wanted(text_hash: list, content: list) -> list[tuple]:
+        return [(h, lang, w) for h, c in zip(text_hash, content) for lang in (language(c),) for w in lookups(c, lang)]
+
+    held = (
+        map_lists(one, wanted, "text_hash string, lang string, word string")
+        .join(learned, ["lang", "word"])
+        .groupBy("text_hash")
+        .agg(F.collect_list(F.struct("what", "word")).alias("held"))
+    )
+
+    def own(*columns: list) -> list[tuple]:
         out = []
-        for *key, text in zip(*columns):
-            lang = language(text)
-            start = 0
-            for i, end in enumerate(sentence_ends(text, lang, shared.value.get(lang, nothing))):
-                while start < end and text[start].isspace():
-                    start += 1
-                out.append((*key, i, start, end, text[start:end]))
-                start = end
+        for *key, text, words in zip(*columns):
+            out += divided(key, text, language(text), model_of([(w["what"], w["word"]) for w in words or ()]))
         return out
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sentence_no int, start_char int, end_char int, sentence string"
-    return map_lists(base, rows, schema)
+    return map_lists(hashed.join(held, "text_hash", "left").select(*keys, "content", "held"), own, schema)

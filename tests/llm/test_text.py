@@ -217,10 +217,22 @@ def learned(spark):
 
 
 @pytest.fixture(scope="module")
-def models(spark):
+def taught(spark):
     return learned(spark)
 
 
+def by_language(taught):
+    words: dict = {}
+    for r in taught.collect():
+        words.setdefault(r.lang, []).append((r.what, r.word))
+    return {lang: S.model_of(w) for lang, w in words.items()}
+
+
+@pytest.fixture(scope="module")
+def models(taught):
+    return by_language(taught)
+
+
 def parts(text, models):
     lang, out, start = language(text), [], 0
     for end in S.sentence_ends(text, lang, models.get(lang, S.Model())):
@@ -271,15 +283,40 @@ def test_ends_of_anything(text):
     assert ends == sorted(set(ends)) and all(0 < e <= len(text) for e in ends)
 
 
-def test_sentence_table(spark, models):
-    rows = [("1", "The end came. We stayed.", 1), ("2", None, 1), ("3", "", 1), ("4", "  \n ", 1), ("5", "word " * 30000, 1)]
+def test_sentence_table(spark, taught, monkeypatch):
+    rows = [("1", "The end came. We stayed.", 1), ("2", None, 1), ("3", "", 1), ("4", "  \n ", 1), ("5", "word " * 30000, 1), ("6", "See Fig. 3 at 5 p.m. The end came.", 1)]
     df = spark.createDataFrame(rows, "id string, content string, end_char int")
-    got = S.sentences(df, models, ("id",)).collect()
-    assert [(r.id, r.start_char, r.end_char) for r in got] == [("1", 0, 13), ("1", 14, 24), ("5", 0, 149999)]
+    got = S.sentences(df, taught, ("id",)).collect()
+    assert [(r.id, r.start_char, r.end_char) for r in got] == [("1", 0, 13), ("1", 14, 24), ("5", 0, 149999), ("6", 0, 20), ("6", 21, 34)]
     assert all(r.sentence == dict((a, b) for a, b, _ in rows)[r.id][r.start_char : r.end_char] for r in got)
-    assert S.sentences(df.limit(0), models, ("id",)).count() == 0
-    assert S.learn(df.limit(0)) == {}
+    # Without a broadcast every text gets the words that it holds.
+    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, S.sentences(df, taught, ("id",)).collect())) == sorted(map(tuple, got))
+    assert S.sentences(df.limit(0), taught, ("id",)).count() == 0
+    assert S.learn(df.limit(0)).count() == 0
+
+
+def test_more_of_the_same_changes_nothing(spark):
+    """An abbreviation that now and then stands without its period, at 60 and at 6,000 uses; one of seven letters; collocations."""
+    text = (
+        ["They saw cats, dogs etc. and one more. The rest left."] * 57
+        + ["They saw cats, dogs etc and one more. The rest left.", "We ask what this is. The end came."]
+        + ["The departm. of one city and the departm. of the other met. We left."] * 150
+        + ["He lives at no. 4 with vitamin C. The others left.", "By J. Mills and J. Mills of one town. We met J. Mills. It rained."] * 20
+    )
+    once = by_language(S.learn(spark.createDataFrame([(t,) for t in text], "content string")))["en"]
+    often = by_language(S.learn(spark.createDataFrame([(" ".join([t] * 100),) for t in text], "content string")))["en"]
+    for model in (once, often):
+        assert {"etc", "departm"} <= model.abbreviations
+        assert "j Mills" in model.collocations and "The" in model.starters
+        assert parts("It is vitamin C. The end.", {"en": model}) == ["It is vitamin C.", "The end."]
+
+
+def test_dunning(spark):
+    from pyspark.sql import functions as F
 
+    from paperlake.llm.likelihood import dunning
 
-def test_dunning():
-    assert S.dunning(50, 100, 10, 1000) > 100 and S.dunning(1, 100, 500, 1000) == 0 and S.dunning(0, 0, 1, 1) == 0
+    df = spark.createDataFrame([(50, 100, 10, 1000), (1, 100, 500, 1000), (0, 0, 1, 1)], "a long, b long, c long, d long")
+    high, low, none = (r[0] for r in df.select(dunning(*map(F.col, "abcd"))).collect())
+    assert high > 100 and low == 0 and none == 0
