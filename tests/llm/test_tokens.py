@@ -57,12 +57,15 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("most", [L.MOST_WINDOWS, 60])
-def test_leaks_equal_brute_force(spark, most):
+@pytest.mark.parametrize("bits, words", [(L.MAP_BITS, L.WORDS_AT_ONCE), (8, 5)])
+def test_leaks_equal_brute_force(spark, monkeypatch, bits, words):
+    """Also with a map so small that nearly every window passes, and a few words at a time."""
+    monkeypatch.setattr(L, "MAP_BITS", bits)
+    monkeypatch.setattr(L, "WORDS_AT_ONCE", words)
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1))
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
-    got = [tuple(r) for r in L.leaks(d, i, most).collect()]
+    got = [tuple(r) for r in L.leaks(d, i).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(docs, items)
     assert len(got) > 15
 
@@ -171,6 +174,23 @@ def test_pack(spark):
     assert K.pack(df.where("n_tokens = 100"), 100).select("container_id").distinct().count() == sum(x[2] == 100 for x in items)
 
 
+def test_minhashes():
+    codes = L.Codes().of([b"%d" % i for i in range(60)])
+    for window, shingle in ((12, 5), (5, 5), (3, 3), (40, 8), (60, 1), (61, 5)):
+        order = L._mix(L.shingle_hashes(codes, shingle))
+        brute = [min(order[i : i + window - shingle + 1]) for i in range(len(codes) - window + 1)]
+        assert L.minhashes(codes, window, shingle).tolist() == brute
+
+
+@pytest.mark.parametrize("n", [40, 4000])
+def test_tiny_items_do_not_hold_up_the_rest(spark, n):
+    """Containers with room for a tiny item only are final; whatever the number, no mergeable two are left."""
+    items = [(i, 0, 60) for i in range(n)] + [(i, 1, 1) for i in range(3)]
+    got = K.pack(spark.createDataFrame(items, "doc_id bigint, piece_no int, n_tokens int").repartition(9), 100).collect()
+    assert sorted((r.doc_id, r.piece_no, r.n_tokens) for r in got) == sorted(items)
+    assert len({r.container_id for r in got}) == n
+
+
 @needs_tokenizer
 def test_containers(spark):
     rows = [(1, TEXTS["en"] * 100), (2, None), (3, ""), (4, "short"), (5, TEXTS["zh"] * 3)]
