@@ -1,23 +1,24 @@
 """Headed sections of paper texts, as column expressions within the row.
 
-A text is divided into lines, lines that are headings are found with their
-offset in one fold, each section ends where the next begins, and for every
-section type the last section wins.  Nothing is exploded or shuffled.
+Headings are found line by line in one Arrow batch pass, linear in the text,
+which also cuts the text where the next heading begins.  What type a section
+is, and that the last section of a type wins, are expressions over the few
+sections of a text.  Nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of headings and section types, headings that count without a number.
-NUMBERED = r"(?U)^((?:[A-Z]|\d+)(?:\.\d+)*)\s+((?:[A-Z]|\d+)[A-Za-z\s\-:]+)$"
-TITLE_CASE = r"(?U)^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})$"
-#: Every heading matches this, and few other lines do; it needs one pass without Unicode classes.
-MAYBE = r"^[\s\x1c-\x1f\x85\p{Z}]*[A-Z\p{Nd}][A-Za-z\p{Nd}.\-:\s\x1c-\x1f\x85\p{Z}]*$"
+NUMBERED = r"^((?:[A-Z]|\d+)(?:\.\d+)*)\s+((?:[A-Z]|\d+)[A-Za-z\s\-:]+)$"
+TITLE_CASE = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})$"
 UNNUMBERED = (
     "abstract", "limitations", "ethics statement", "ethical statement", "ethical considerations", "acknowledgement",
     "acknowledgements", "references",
@@ -32,8 +33,6 @@ WANTED = tuple(SECTION_TYPES)
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _NO_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-SECTION = "array<struct<type: string, title: string, content: string, level: int, start: int, end: int>>"
-
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` applied to a value that is computed once per row, however often `use` refers to it."""
@@ -55,33 +54,70 @@ def lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{_NO_END}*(?:{LINE_ENDS})|{_NO_END}+"), F.lit(0))
 
 
-def heading(line: Column) -> Column:
-    """struct(title, level) of a stripped line that is a heading, else null."""
-    number = F.regexp_extract(line, NUMBERED, 1)
-    numbered = F.struct(
-        strip(F.regexp_extract(line, NUMBERED, 2)).alias("title"), F.size(F.split(number, r"\.")).cast("int").alias("level")
-    )
-    plain = F.struct(line.alias("title"), F.lit(1).cast("int").alias("level"))
-    return F.when(line.rlike(NUMBERED), numbered).when(line.rlike(TITLE_CASE) & F.lower(line).isin(*UNNUMBERED), plain)
+_NUMBERED, _TITLE_CASE = re.compile(NUMBERED), re.compile(TITLE_CASE)
+
+
+def heading(line: str) -> tuple[str, int] | None:
+    """Title and level of a stripped line that is a heading."""
+    if not line or not (line[0].isdigit() or "A" <= line[0] <= "Z"):
+        return None
+    if m := _NUMBERED.match(line):
+        return m.group(2).strip(), m.group(1).count(".") + 1
+    if line.lower() in UNNUMBERED and _TITLE_CASE.match(line):
+        return line, 1
+    return None
+
+
+def headed(text: str) -> list[tuple[str, int, int]]:
+    """(title, level, start) of the headings of a text in order; start counts characters."""
+    out, at = [], 0
+    for line in text.splitlines(True):
+        if found := heading(line.strip()):
+            out.append((*found, at))
+        at += len(line)
+    return out
+
+
+def divided(text: str) -> list[tuple[str, str, int, int, int]]:
+    """(title, content, level, start, end) of the sections of a text, each up to the next heading."""
+    found = headed(text)
+    out = []
+    for i, (title, level, start) in enumerate(found):
+        end = found[i + 1][2] if i + 1 < len(found) else len(text)
+        out.append((title, text[start:end].strip().partition("\n")[2].strip(), level, start, end))
+    return out
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, length) of the lines of a text, ends included, in characters."""
+    out, at = [], 0
+    for line in text.splitlines(True):
+        out.append((at, len(line)))
+        at += len(line)
+    return out
+
+
+def _per_text(parse: Callable[[str], list[tuple]], fields: str, text: Column) -> Column:
+    """An array of structs per text, by Arrow batches; none for a null text."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = [pa.string() if f.endswith("string") else pa.int32() for f in fields.split(", ")]
+    kind = pa.list_(pa.struct(list(zip(names, kinds))))
+
+    @F.arrow_udf(f"array<struct<{', '.join(f.replace(' ', ': ') for f in fields.split(', '))}>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, x)) for x in parse(t)] if t else [] for t in texts.to_pylist()], kind)
+
+    return run(text)
 
 
 def headings(text: Column) -> Column:
     """array of struct(title, level, start) in order; start counts characters."""
-    empty = F.array().cast("array<struct<title: string, level: int, start: int>>")
-
-    def add(state: Column, line: Column, found: Column) -> Column:
-        entry = F.struct(found["title"].alias("title"), found["level"].alias("level"), state["at"].alias("start"))
-        return F.struct(
-            (state["at"] + F.length(line)).cast("int").alias("at"),
-            F.when(found.isNotNull(), F.array_append(state["found"], entry)).otherwise(state["found"]).alias("found"),
-        )
+    return _per_text(headed, "title string, level int, start int", text)
 
-    def step(state: Column, line: Column) -> Column:
-        found = F.when(line.rlike(MAYBE), let(strip(line), heading))
-        return let(found, lambda found: add(state, line, found))
 
-    start = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("found"))
-    return F.aggregate(lines(text), start, step, lambda s: s["found"])
+def line_spans(text: Column) -> Column:
+    """array of struct(start, n_chars) of the lines with their ends."""
+    return _per_text(spans, "start int, n_chars int", text)
 
 
 def section_type(title: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
@@ -101,23 +137,18 @@ def slug(title: Column) -> Column:
 
 def sections(text: Column, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:
     """All sections of a normalised text, in order.  Texts without headings, empty and null texts have none."""
-
-    def one(text: Column, found: Column, h: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
-        body = strip(F.substring(text, h["start"] + 1, end - h["start"]))
-        return F.struct(
-            section_type(h["title"], types).alias("type"),
-            h["title"].alias("title"),
-            strip(F.regexp_replace(body, r"(?s)^[^\n]*(?:\n|$)", "")).alias("content"),
-            h["level"].alias("level"),
-            h["start"].alias("start"),
-            end.cast("int").alias("end"),
-        )
-
-    def all_of(text: Column) -> Column:
-        return let(headings(text), lambda found: F.transform(found, lambda h, i: one(text, found, h, i)))
-
-    return F.coalesce(let(text, all_of), F.array().cast(SECTION))
+    found = _per_text(divided, "title string, content string, level int, start int, end int", text)
+    return F.transform(
+        found,
+        lambda s: F.struct(
+            section_type(s["title"], types).alias("type"),
+            s["title"].alias("title"),
+            s["content"].alias("content"),
+            s["level"].alias("level"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+        ),
+    )
 
 
 def section_map(text: Column, wanted: tuple[str, ...] | None = None, types: dict[str, tuple[str, ...]] = SECTION_TYPES) -> Column:

@@ -37,17 +37,8 @@ def q_normalize_text(spark: SparkSession, data: str) -> DataFrame:
 
 
 def q_line_offsets(spark: SparkSession, data: str) -> DataFrame:
-    lines = table(spark, data, "documents").select("doc_id", S.lines(F.col("text")).alias("lines"))
-    # Offsets are kept as one array per text, so the lines are exploded once, with their offsets.
-    ends = F.aggregate(
-        F.col("lines"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
-        lambda s: s["out"],
-    )
-    return lines.select("doc_id", F.explode(F.arrays_zip(F.col("lines"), ends.alias("starts"))).alias("x")).select(
-        "doc_id", F.col("x.starts").alias("start_char"), F.length("x.lines").alias("n_chars")
-    )
+    lines = table(spark, data, "documents").select("doc_id", F.explode(S.line_spans(F.col("text"))).alias("x"))
+    return lines.select("doc_id", F.col("x.start").alias("start_char"), F.col("x.n_chars").alias("n_chars"))
 
 
 def q_find_headings(spark: SparkSession, data: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Collections kept as immutable snapshots.
 
-A collection is a folder with one folder per version and a file that names the
-current one.  A write makes the next version and then moves the name; readers
-of an older version are not disturbed, and a write that fails leaves nothing
-behind but an unused folder.  `_seq` is the order of insertion; it gives the
-natural order, breaks ties and is never shown.  One writer at a time.
+A collection is a folder of segments, which are never changed, and of files
+that name the segments of each version.  An insert adds a segment; an update or
+delete writes one new segment in one pass, which also counts what it matches.
+The file of the next version is created only if nobody else made it, so that
+of two writers at a time one fails with WriteConflict and none is lost.
+Readers of an older version are not disturbed; vacuum() removes what no
+version that is kept needs.  `_seq` is the order of insertion; it gives the
+natural order, breaks ties and is never shown.
 """
 
 from __future__ import annotations
 
-import time
+import json
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +33,10 @@ class DuplicateKey(ValueError):
     """A unique field already has the value."""
 
 
+class WriteConflict(RuntimeError):
+    """Another writer made the next version first."""
+
+
 class NotConnected(RuntimeError):
     """The catalog was closed or never opened."""
 
@@ -74,28 +83,71 @@ class Collection:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> int:
+    def _versions(self) -> list[int]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
-            return 0
+            return []
         names = [x.getPath().getName() for x in fs.listStatus(p)]
-        return max((int(n.removeprefix("current-")) for n in names if n.startswith("current-")), default=0)
+        return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+    def version(self) -> int:
+        return max(self._versions(), default=0)
+
+    def _state(self, version: int) -> tuple[list[str], int]:
+        """Segments of a version and the next place in the order of insertion."""
+        if not version:
+            return [], 0
+        fs, mark = self._fs(f"{self.path}/version-{version}")
+        stream = fs.open(mark)
+        try:
+            state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return state["segments"], state["next"]
+
+    def _of(self, segments: list[str]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], self.stored)
+        return self.spark.read.schema(self.stored).parquet(*(f"{self.path}/{s}" for s in segments))
 
     def rows(self) -> DataFrame:
         """The current snapshot with `_seq`."""
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], self.stored)
-        return self.spark.read.schema(self.stored).parquet(f"{self.path}/v={v}")
+        return self._of(self._state(self.version())[0])
+
+    def _segment(self, df: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        df.select(*self.stored.fieldNames()).write.parquet(f"{self.path}/{name}")
+        return name
 
-    def _write(self, df: DataFrame) -> None:
-        v = self.version() + 1
-        df.select(*self.stored.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        fs, mark = self._fs(f"{self.path}/current-{v}")
-        fs.create(mark, True).close()
-        fs, old = self._fs(f"{self.path}/current-{v - 1}")
-        if fs.exists(old):
-            fs.delete(old, False)
+    def _drop(self, segment: str) -> None:
+        fs, p = self._fs(f"{self.path}/{segment}")
+        fs.delete(p, True)
+
+    def _commit(self, version: int, segments: list[str], following: int) -> None:
+        """Make `version`, unless there is one already."""
+        fs, mark = self._fs(f"{self.path}/version-{version}")
+        try:
+            stream = fs.create(mark, False)
+        except Py4JJavaError as e:
+            raise WriteConflict(self.name) from e
+        try:
+            stream.write(bytearray(json.dumps({"segments": segments, "next": following}).encode()))
+        finally:
+            stream.close()
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove all but the latest `keep` versions and the segments that none of these has; returns how many were removed."""
+        versions = self._versions()
+        kept = versions[-keep:]
+        used = {s for v in kept for s in self._state(v)[0]}
+        fs, p = self._fs(self.path)
+        gone = [x.getPath() for x in fs.listStatus(p)] if versions else []
+        gone = [x for x in gone if x.getName().startswith("segment-") and x.getName() not in used]
+        for v in versions[:-keep]:
+            fs.delete(self._fs(f"{self.path}/version-{v}")[1], False)
+        for x in gone:
+            fs.delete(x, True)
+        return len(gone)
 
     def read(self, validate: bool = False) -> DataFrame:
         """Rows as they are shown: with defaults for fields never stored; `validate` fails on the first invalid row."""
@@ -124,26 +176,28 @@ class Collection:
         now = _now()
         if "_place" not in batch.columns:
             batch = batch.withColumn("_place", F.monotonically_increasing_id())
+        version = self.version()
+        segments, first = self._state(version)
         for field in self.unique:
-            clash = batch.join(self.rows().select(field).distinct(), field, "left_semi")
-            twice = batch.groupBy(field).count().where("count > 1")
-            if not clash.isEmpty() or not twice.isEmpty():
+            taken = self._of(segments).select(field, F.lit(True).alias("stored")).unionByName(batch.select(field, F.lit(False).alias("stored")))
+            twice = taken.where(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("stored")).alias("new"))
+            if not twice.where("n > 1 AND new > 0").isEmpty():
                 raise DuplicateKey(field)
-        old = self.rows()
-        last = old.agg(F.max("_seq")).first()[0]
-        first = 0 if last is None else last + 1
         seq = F.col("_place") + F.lit(first)
-        nonce = F.lit(f"{self.path}:{self.version()}:{time.time_ns()}")
+        nonce = F.lit(uuid.uuid4().hex)
         batch = batch.withColumns(
             {"_seq": seq, "_id": new_id(nonce, seq), "created_at": F.lit(now).cast("timestamp_ntz"), "updated_at": F.lit(now).cast("timestamp_ntz")}
         ).select(*self.stored.fieldNames())
-        self._write(old.unionByName(batch))
-        added = self.rows().where(F.col("_seq") >= first)
-        if isinstance(objects, DataFrame):
-            n = added.count()
-            return Created(n > 0, n, [], f"Created {n} documents")
-        ids = [r._id for r in added.orderBy("_seq").select("_id").collect()]
-        return Created(True, len(ids), ids, f"Created {len(ids)} documents")
+        segment = self._segment(batch)
+        added = self._of([segment])
+        n, last = added.agg(F.count(F.lit(1)), F.max("_seq")).first()
+        if not n:
+            self._drop(segment)
+            return Created(False, 0, [], "No documents to create")
+        self._commit(version + 1, [*segments, segment], last + 1)
+        # The ids of a list are returned in its order; those of a table are left in the collection.
+        ids = [] if isinstance(objects, DataFrame) else [r._id for r in added.orderBy("_seq").select("_id").collect()]
+        return Created(True, n, ids, f"Created {n} documents")
 
     def create_one(self, obj: dict[str, Any]) -> Created:
         return self.create_many([obj])
@@ -171,28 +225,34 @@ class Collection:
         word = "Document" if one else "Documents"
         if not patch:
             return Updated(False, 0, 0, "No fields to update")
-        df = self.rows()
-        matches = self._matches(df, query, one)
-        n = df.where(matches).count()
-        if not n:
-            return Updated(False, 0, 0, f"{word} not found for update")
-        set_to = {**patch, "updated_at": _now()}
-        unknown = set(set_to) - set(self.schema.fieldNames())
+        unknown = set(patch) - set(self.schema.fieldNames())
         if unknown:
             raise ValueError(f"unknown fields {sorted(unknown)}")
+        version = self.version()
+        segments, following = self._state(version)
+        if not segments:
+            return Updated(False, 0, 0, f"{word} not found for update")
+        df = self._of(segments)
+        matches = self._matches(df, query, one)
+        new = {k: F.lit(v).cast(self.schema[k].dataType) for k, v in {**patch, "updated_at": _now()}.items()}
         changes = F.lit(False)
-        for k, v in set_to.items():
-            changes = changes | ~F.col(k).eqNullSafe(F.lit(v).cast(self.schema[k].dataType))
-        modified = df.where(matches & changes).count()
-        self._write(
-            df.withColumns({k: F.when(matches, F.lit(v).cast(self.schema[k].dataType)).otherwise(F.col(k)) for k, v in set_to.items()})
-        )
+        for k, v in new.items():
+            changes = changes | ~F.col(k).eqNullSafe(v)
+        counts = Observation()
+        seen = df.observe(counts, F.count_if(matches).alias("matched"), F.count_if(matches & changes).alias("modified"))
+        segment = self._segment(seen.withColumns({k: F.when(matches, v).otherwise(F.col(k)) for k, v in new.items()}))
+        n, modified = counts.get["matched"], counts.get["modified"]
+        if not n:
+            self._drop(segment)
+            return Updated(False, 0, 0, f"{word} not found for update")
+        self._commit(version + 1, [segment], following)
         if modified:
             return Updated(True, n, modified, f"{word} updated successfully")
         return Updated(False, n, 0, f"{word} found but no changes made")
 
     def _matches(self, df: DataFrame, query: dict[str, Any] | None, one: bool):
-        matches = compile_filter(query, self.stored)
+        # Never a constant, which would let the plan skip the pass that counts.
+        matches = compile_filter(query, self.stored) & F.col("_seq").isNotNull()
         if one:
             first = df.where(matches).agg(F.min("_seq")).first()[0]
             matches = F.col("_seq") == F.lit(first) if first is not None else F.lit(False)
@@ -209,12 +269,19 @@ class Collection:
 
     def _delete(self, query: dict[str, Any] | None, one: bool) -> Deleted:
         word = "Document" if one else "Documents"
-        df = self.rows()
+        version = self.version()
+        segments, following = self._state(version)
+        if not segments:
+            return Deleted(False, 0, f"{word} not found for deletion")
+        df = self._of(segments)
         matches = self._matches(df, query, one)
-        n = df.where(matches).count()
+        counts = Observation()
+        segment = self._segment(df.observe(counts, F.count_if(matches).alias("matched")).where(~matches))
+        n = counts.get["matched"]
         if not n:
+            self._drop(segment)
             return Deleted(False, 0, f"{word} not found for deletion")
-        self._write(df.where(~matches))
+        self._commit(version + 1, [segment], following)
         return Deleted(True, n, f"{word} deleted successfully")
 
     def delete_one(self, query: dict[str, Any] | None = None) -> Deleted:
@@ -266,4 +333,4 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return ordered.withColumn("_seq", F.monotonically_increasing_id())
 
 
-__all__ = ["Catalog", "Collection", "Created", "Deleted", "DuplicateKey", "NotConnected", "Updated", "numbered"]
+__all__ = ["Catalog", "Collection", "Created", "Deleted", "DuplicateKey", "NotConnected", "Updated", "WriteConflict", "numbered"]

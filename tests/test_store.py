@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from paperlake.sources.store import Catalog, DuplicateKey, NotConnected
+from paperlake.sources.store import Catalog, DuplicateKey, NotConnected, WriteConflict
 
 SAMPLE = "_id string, created_at timestamp_ntz, updated_at timestamp_ntz, field1 string, field2 int"
 
@@ -147,6 +147,35 @@ def test_readers_keep_their_snapshot(samples):
     assert [r.field2 for r in samples.rows().collect()] == [7]
 
 
+def test_of_two_writers_one_fails(samples):
+    fill(samples, ("a", 1))
+    version, (segments, following) = samples.version(), samples._state(samples.version())
+    samples.update_many({}, field2=7)
+    with pytest.raises(WriteConflict):
+        samples._commit(version + 1, segments, following)
+    assert [r.field2 for r in samples.rows().collect()] == [7]
+
+
+def test_inserts_add_segments_and_vacuum_removes_old_ones(samples):
+    fill(samples, ("a", 1))
+    first = samples._state(samples.version())[0]
+    fill(samples, ("b", 2))
+    assert samples._state(samples.version())[0][:1] == first and len(samples._state(samples.version())[0]) == 2
+    assert samples.vacuum() == 0
+    samples.delete_one({"field1": "a"})
+    assert samples.vacuum() == 2 and names(samples) == ["b"]
+    fill(samples, ("c", 3))
+    assert names(samples) == ["b", "c"] and len({r._seq for r in samples.rows().collect()}) == 2
+
+
+def test_writes_that_match_nothing_leave_nothing(samples, tmp_path):
+    fill(samples, ("a", 1))
+    before = sorted(p.name for p in (tmp_path / "samples").iterdir())
+    samples.delete_many({"field1": "none"})
+    samples.update_many({"field1": "none"}, field2=1)
+    assert sorted(p.name for p in (tmp_path / "samples").iterdir()) == before
+
+
 def test_bulk_from_a_table(samples, spark):
     fill(samples, ("first", 0))
     made = samples.create_many(spark.range(50).selectExpr("cast(id as string) field1", "cast(id as int) field2"))
