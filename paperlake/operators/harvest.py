@@ -8,13 +8,17 @@ become rows of papers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions import html as H
 from paperlake.functions import urls as U
 from paperlake.operators.crawl import first_visits, plan
 from paperlake.operators.sections import WANTED, normalize, section_map
+from paperlake.schemas import DEFAULTS
+
+#: Where papers are stored whose job names no folder.
+FOLDER = DEFAULTS["crawler_configs"]["output_dir"]
 
 
 def seeds(jobs: DataFrame, base: str) -> DataFrame:
@@ -50,14 +54,15 @@ def candidates(planned: DataFrame, pages: DataFrame) -> DataFrame:
     return direct.where(F.col("id").isNotNull()).unionByName(listed)
 
 
-def harvest(jobs: DataFrame, pages: DataFrame, base: str, folder: Column | None = None) -> DataFrame:
+def harvest(jobs: DataFrame, pages: DataFrame, base: str) -> DataFrame:
     """Rows of papers that the jobs find.
 
-    `jobs` has job_id, urls, query, max_papers; `pages` url and html.  A page
-    that isn't stored, or that can't be parsed, is a failed fetch.  Repeated
-    jobs and pages count once.
+    `jobs` has job_id, urls, query, max_papers and, if a job has a folder of its
+    own, output_dir; `pages` url and html.  A page that isn't stored, or that
+    can't be parsed, is a failed fetch.  Repeated jobs and pages count once.
     """
-    jobs = jobs.select("job_id", "urls", "query", "max_papers").dropDuplicates(["job_id"])
+    folder = F.col("output_dir") if "output_dir" in jobs.columns else F.lit(None).cast("string")
+    jobs = jobs.select("job_id", "urls", "query", "max_papers", F.coalesce(folder, F.lit(FOLDER)).alias("output_dir")).dropDuplicates(["job_id"])
     pages = pages.select("url", "html").where(F.length("html") > 0).dropDuplicates(["url"])
     wanted = candidates(seeds(jobs, base), pages)
     ids = wanted.select("id").distinct().withColumn("url", U.paper_url(base, F.col("id")))
@@ -67,14 +72,17 @@ def harvest(jobs: DataFrame, pages: DataFrame, base: str, folder: Column | None
         fetched.select("job_id", "seed_no", F.lit(None).cast("string").alias("page"), "place", "id", F.coalesce("ok", F.lit(False)).alias("ok")),
         jobs.select("job_id", "max_papers"),
     )
-    return found.join(parsed.withColumnRenamed("page_id", "id"), "id").select(
+    return found.join(parsed.withColumnRenamed("page_id", "id"), "id").join(jobs.select("job_id", "output_dir"), "job_id").select(
         "title", "authors", F.lit("acl_anthology").alias("source"), F.col("id").alias("source_id"), "year",
         U.paper_url(base, F.col("id")).alias("url"), "pdf_url",
-        U.pdf_path(folder if folder is not None else F.lit("crawled_papers"), F.col("id")).alias("local_pdf_path"), "venues", "job_id",
+        U.pdf_path(F.col("output_dir"), F.col("id")).alias("local_pdf_path"), "venues", "job_id",
     )
 
 
 def with_sections(papers: DataFrame, texts: DataFrame, wanted: tuple[str, ...] = WANTED) -> DataFrame:
-    """Papers with the wanted sections of their texts (local_pdf_path, text); none where there is no text."""
-    found = texts.select("local_pdf_path", section_map(normalize(F.col("text")), wanted).alias("sections"))
+    """Papers with the wanted sections of their texts (local_pdf_path, text); none where there is no text.
+
+    Of several texts of one path the first by code point counts.
+    """
+    found = texts.groupBy("local_pdf_path").agg(F.min("text").alias("text")).select("local_pdf_path", section_map(normalize(F.col("text")), wanted).alias("sections"))
     return papers.join(found, "local_pdf_path", "left")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.operators.harvest import harvest, with_sections
+from paperlake.schemas import SOURCES
+from paperlake.session import cut
 from paperlake.sources.store import Catalog, Created, Deleted, DuplicateKey, Updated, _now
+from paperlake.sources.web import to_download, write_pdfs
 
 
 class NotFound(LookupError):
@@ -63,39 +67,71 @@ class Service:
     def create_paper(self, paper: dict[str, Any]) -> Created:
         return self._of("papers").create_one(paper)
 
-    def create_job(self, job: dict[str, Any]) -> Created:
-        """Store a job whose configuration exists; it has no status until it runs."""
+    def create_job(self, job: dict[str, Any], pages: DataFrame | None = None, **run: Any) -> Created:
+        """Store a job whose configuration exists; it has no status until it runs, which it does at once if there are pages."""
         if not job.get("query") and not job.get("urls"):
             raise BadRequest("a job needs a query or urls")
         self.config_by_name(job["config_name"])
-        return self._of("crawler_jobs").create_one(job)
-
-    def run_jobs(self, pages: DataFrame, ids: list[str], texts: DataFrame | None = None) -> int:
+        made = self._of("crawler_jobs").create_one(job)
+        if pages is not None:
+            self.run_jobs(pages, made.ids, **run)
+        return made
+
+    def run_jobs(
+        self, pages: DataFrame, ids: list[str], texts: DataFrame | None = None, fetch: Callable[[str], tuple[int, bytes]] | None = None
+    ) -> int:
         """Run jobs over stored pages as one plan; returns the number of papers stored.
 
-        Jobs whose configuration is missing fail.  An error fails all the others
-        with its message and is raised.
+        Every job keeps its configuration's folder.  One without configuration,
+        or with a source that isn't known, fails with a message.  If the plan
+        fails, its jobs are run in two halves, and so on, until only those that
+        fail by themselves are left; these keep the error's message.  `fetch`
+        downloads the papers' PDF files that aren't there yet.
         """
         jobs, configs = self._of("crawler_jobs"), self._of("crawler_configs")
-        mine = {"_id": {"$in": ids}}
-        rows = jobs.rows().where(F.col("_id").isin(ids))
-        known = rows.join(configs.rows().select(F.col("name").alias("config_name")), "config_name", "left_semi")
-        good = [r._id for r in known.select("_id").collect()]
-        lost = [i for i in ids if i not in good]
-        if lost:
-            jobs.update_many({"_id": {"$in": lost}}, status="failed", error_message="configuration not found")
-        mine = {"_id": {"$in": good}}
-        if not good:
+        rows = jobs.rows().where(F.col("_id").isin(ids)).select("_id", "config_name")
+        known = configs.read().select(F.col("name").alias("config_name"), "source")
+        ready: list[str] = []
+        failed: dict[str, list[str]] = {}
+        for r in rows.join(known.withColumn("found", F.lit(True)), "config_name", "left").collect():
+            if not r.found:
+                failed.setdefault(f"Configuration '{r.config_name}' not found", []).append(r._id)
+            elif r.source not in SOURCES:
+                failed.setdefault(f"Crawler source '{r.source}' not implemented", []).append(r._id)
+            else:
+                ready.append(r._id)
+        for message, lost in failed.items():
+            jobs.update_many({"_id": {"$in": lost}}, status="failed", error_message=message)
+        if not ready:
             return 0
-        jobs.update_many(mine, status="running", started_at=_now())
+        jobs.update_many({"_id": {"$in": ready}}, status="running", started_at=_now())
+        return self._run(pages, ready, texts, fetch)
+
+    def _run(self, pages: DataFrame, ids: list[str], texts: DataFrame | None, fetch: Callable | None) -> int:
+        jobs = self._of("crawler_jobs")
+        mine = {"_id": {"$in": ids}}
         try:
-            ready = jobs.rows().where(F.col("_id").isin(good)).withColumnRenamed("_id", "job_id")
+            folders = self._of("crawler_configs").read().select(F.col("name").alias("config_name"), "output_dir")
+            ready = jobs.rows().where(F.col("_id").isin(ids)).withColumnRenamed("_id", "job_id").join(folders, "config_name")
             papers = harvest(ready, pages, self.base)
             if texts is not None:
                 papers = with_sections(papers, texts)
+            papers = cut(papers)
+            if fetch is not None:
+                write_pdfs(to_download(papers), fetch)
             made = self._of("papers").create_many(papers)
         except Exception as e:
-            jobs.update_many(mine, status="failed", error_message=str(e)[:500])
-            raise
+            if len(ids) == 1:
+                jobs.update_many(mine, status="failed", error_message=str(e)[:500])
+                return 0
+            half = len(ids) // 2
+            return self._run(pages, ids[:half], texts, fetch) + self._run(pages, ids[half:], texts, fetch)
         jobs.update_many(mine, status="completed", completed_at=_now())
         return made.created_count
+
+    def health(self) -> dict[str, str]:
+        return {"status": "healthy" if self.catalog.healthy() else "database_error"}
+
+    @staticmethod
+    def root() -> dict[str, str]:
+        return {"message": "Research Agent API is running"}

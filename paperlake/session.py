@@ -19,6 +19,8 @@ def get_session(app: str = "paperlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # What was written only to cut a plan goes when nothing refers to it any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.appName(app).config(map=settings)
     if master:
@@ -27,13 +29,15 @@ def get_session(app: str = "paperlake", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a local one only where that is unset."""
+    """The shared folder named by `spark.checkpoint.dir`; a local one only where that is unset and all tasks run in this process."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"paperlake-checkpoint-{os.getpid()}")
     context.setCheckpointDir(path)
     return context.getCheckpointDir() or path

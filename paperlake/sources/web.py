@@ -1,31 +1,39 @@
 """Pages from the web, and PDF files from and to a folder.
 
-`PageSource` is a Python data source: spark.read.format("pages") with a table
-of addresses split over partitions.  It retries with backoff and keeps each
-partition to its share of the request rate.  `fetch` may be replaced, which is
-how it is tested without a network.
+`fetch_pages` fetches a table of addresses.  All addresses of a host go to one
+task, which keeps to the rate and to the number of requests at a time that the
+host is asked for; hosts are fetched side by side.  `PageSource` offers the
+same for a short list as a data source.  `fetch` may be replaced, which is how
+both are tested without a network.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Seconds that one request may take.
 TIMEOUT = 30.0
+#: Names that requests go by in turn.
+AGENTS = tuple(f"Mozilla/5.0 (compatible; paperlake/{n})" for n in range(1, 6))
 
 
 def http_get(url: str) -> tuple[int, bytes]:
     """Status and body of an address."""
-    request = urllib.request.Request(url, headers={"User-Agent": "paperlake"})
+    request = urllib.request.Request(url, headers={"User-Agent": random.choice(AGENTS)})
     try:
         with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
             return answer.status, answer.read()
@@ -104,37 +112,119 @@ def fetched(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     return seeds.join(pages.select("url", "html").dropDuplicates(["url"]), "url", "left")
 
 
-def to_download(papers: DataFrame, folder: str) -> DataFrame:
-    """Papers with an address and a path whose file isn't there yet."""
-    spark = papers.sparkSession
-    ready = papers.where((F.length("pdf_url") > 0) & (F.length("local_pdf_path") > 0))
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(folder)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return ready
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("_file")
+class _Pace:
+    """Lets requests begin no faster than one every so many seconds."""
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds, self.next, self.lock = seconds, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.seconds
+        time.sleep(at - now)
+
+
+def fetch_pages(
+    urls: DataFrame,
+    *,
+    rate_limit: int = 10,
+    max_delay: int = 60,
+    max_attempts: int = 3,
+    max_concurrent: int = 10,
+    fetch: Callable[[str], tuple[int, bytes]] = http_get,
+) -> DataFrame:
+    """(url, html) of every distinct address of `urls` (column url); html is null where it failed.
+
+    A host is asked `rate_limit` times a minute, by at most `max_concurrent`
+    requests at a time.  Null addresses are left out.
+    """
+    schema = pa.schema([("url", pa.string()), ("html", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paces: dict[str, _Pace] = {}
+
+        def one(url: str) -> str | None:
+            host = urllib.parse.urlsplit(url).netloc
+
+            def paced(url: str) -> tuple[int, bytes]:
+                paces.setdefault(host, _Pace(60 / rate_limit)).wait()
+                return fetch(url)
+
+            body = fetch_with_retry(url, paced, rate_limit=rate_limit, max_delay=max_delay, max_attempts=max_attempts)
+            return body.decode("utf-8", "replace") if body is not None else None
+
+        with ThreadPoolExecutor(max_concurrent) as pool:
+            for batch in batches:
+                wanted = batch.column(0).to_pylist()
+                # Few at a time, so that no more than these bodies are held.
+                for i in range(0, len(wanted), 100):
+                    part = wanted[i : i + 100]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(pool.map(one, part)), pa.string())], schema=schema)
+
+    host = F.regexp_extract("url", "^[^:/?#]+://([^/?#]*)", 1)
+    return urls.select("url").where(F.col("url").isNotNull()).distinct().repartition(host).mapInArrow(run, "url string, html string")
+
+
+def _full_path(spark: SparkSession, path: Column) -> Column:
+    """A path with its file system, as Hadoop names it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration())
+    root = str(fs.getUri().toString()).rstrip("/")
+    root = root + ":" if root == "file" else root
+    here = str(fs.getWorkingDirectory().toString()).rstrip("/")
+    clean = F.regexp_replace(F.regexp_replace(path, r"(?<!:)/{2,}", "/"), r"^(\./)+", "")
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), clean).when(path.startswith("/"), F.concat(F.lit(root.removesuffix("//")), clean)).otherwise(
+        F.concat(F.lit(here + "/"), clean)
     )
-    return ready.withColumn("_file", F.regexp_extract("local_pdf_path", "([^/]+)$", 1)).join(there, "_file", "left_anti").drop("_file")
 
 
-def write_pdfs(papers: DataFrame, fetch: Callable[[str], tuple[int, bytes]] = http_get) -> None:
-    """Store the file of every paper (pdf_url, local_pdf_path); failed fetches and writes are passed over."""
+def to_download(papers: DataFrame) -> DataFrame:
+    """Papers with an address and a path whose file isn't there yet.
+
+    Paths are compared in full, so that a file of the same name elsewhere hides
+    none.  Folders that hold papers are listed by Spark; contents aren't read.
+    """
+    spark = papers.sparkSession
+    ready = papers.where((F.length("pdf_url") > 0) & (F.length("local_pdf_path") > 0)).withColumn("_file", _full_path(spark, F.col("local_pdf_path")))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    # One row for each configured folder.
+    folders = [r[0] for r in ready.select(F.regexp_extract("_file", "^(.*)/[^/]*$", 1)).distinct().collect()]
+    there = [f for f in folders if hadoop.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(f))]
+    if not there:
+        return ready.drop("_file")
+    files = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/+", "file:/").alias("_file"))
+    return ready.join(files, "_file", "left_anti").drop("_file")
+
+
+def write_pdfs(papers: DataFrame, fetch: Callable[[str], tuple[int, bytes]] = http_get, max_concurrent: int = 10) -> None:
+    """Store the file of every paper (pdf_url, local_pdf_path) in the file system of its path; failed fetches and writes are passed over."""
 
     def store(rows: Iterator) -> None:
-        import os
+        from pyarrow import fs
 
-        for r in rows:
+        def one(r) -> None:
             body = fetch_with_retry(r.pdf_url, fetch, max_attempts=1)
             if body:
                 try:
-                    os.makedirs(os.path.dirname(r.local_pdf_path) or ".", exist_ok=True)
-                    with open(r.local_pdf_path, "wb") as file:
+                    system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", r.file))
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(path) as file:
                         file.write(body)
-                except OSError:
+                except (OSError, pa.ArrowException):
                     pass
 
-    papers.select("pdf_url", "local_pdf_path").foreachPartition(store)
+        with ThreadPoolExecutor(max_concurrent) as pool:
+            waiting: list = []
+            for r in rows:
+                waiting.append(r)
+                if len(waiting) == 100:
+                    list(pool.map(one, waiting))
+                    waiting = []
+            list(pool.map(one, waiting))
+
+    papers.select("pdf_url", _full_path(papers.sparkSession, F.col("local_pdf_path")).alias("file")).distinct().foreachPartition(store)
 
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import html as H
 from paperlake.functions import scalars as S
 from paperlake.functions import urls as U
-from paperlake.sources.web import PageReader, fetch_with_retry, to_download, write_pdfs
+from paperlake.sources.web import PageReader, fetch_pages, fetch_with_retry, to_download, write_pdfs
 
 
 def values(spark, function, *inputs):
@@ -85,7 +85,21 @@ def test_page_source_partitions():
 def test_pdf_files(spark, tmp_path):
     path = str(tmp_path / "pdfs" / "a.pdf")
     papers = spark.createDataFrame([("http://x/a.pdf", path), ("http://x/b.pdf", None), (None, "p"), ("", "p")], "pdf_url string, local_pdf_path string")
-    assert to_download(papers, str(tmp_path / "pdfs")).count() == 1
-    write_pdfs(to_download(papers, str(tmp_path / "pdfs")), lambda _: (200, b"%PDF"))
+    assert to_download(papers).count() == 1
+    write_pdfs(to_download(papers), lambda _: (200, b"%PDF"))
     assert open(path, "rb").read() == b"%PDF"
-    assert to_download(papers, str(tmp_path / "pdfs")).count() == 0
+    assert to_download(papers).count() == 0
+
+
+def test_a_file_elsewhere_hides_none(spark, tmp_path):
+    a, b = str(tmp_path / "a" / "x.pdf"), str(tmp_path / "b" / "x.pdf")
+    papers = spark.createDataFrame([("http://x/1.pdf", a), ("http://x/2.pdf", b)], "pdf_url string, local_pdf_path string")
+    write_pdfs(papers.limit(1), lambda _: (200, b"%PDF"))
+    assert [r.local_pdf_path for r in to_download(papers).collect()] == [b]
+
+
+def test_fetch_pages(spark):
+    answers = {"http://a.example/1": (200, b"one"), "http://a.example/2": (404, b""), "http://b.example/1": (200, "zwei é".encode())}
+    urls = spark.createDataFrame([(u,) for u in answers] + [(None,), ("http://a.example/1",)], "url string")
+    got = {r.url: r.html for r in fetch_pages(urls, rate_limit=6000, fetch=lambda u: answers[u]).collect()}
+    assert got == {"http://a.example/1": "one", "http://a.example/2": None, "http://b.example/1": "zwei é"}

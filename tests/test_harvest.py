@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paperlake.operators.harvest import harvest
+from paperlake.operators.harvest import harvest, with_sections
 from paperlake.service import BadRequest, Conflict, NotFound, Service
 from paperlake.sources.store import Catalog
 
@@ -85,3 +85,63 @@ def test_service(spark, tmp_path):
     with pytest.raises(NotFound):
         s.get("crawler_configs", config)
     assert s.list("crawler_jobs").where(F.col("config_name") == "c").count() == 1
+
+
+def test_jobs_fail_one_by_one(spark, tmp_path):
+    s = Service(Catalog(spark, str(tmp_path / "data")), BASE)
+    s.create_config({"name": "c", "source": "acl_anthology", "output_dir": str(tmp_path / "c")})
+    s.create_config({"name": "d", "source": "acl_anthology"})
+    s.create_config({"name": "other", "source": "elsewhere"})
+    pages = spark.createDataFrame(PAGES, "url string, html string")
+    jobs = s.catalog.collection("crawler_jobs")
+    good = s.create_job({"config_name": "c", "urls": [f"{BASE}/e.1"]}).ids[0]
+    plain = s.create_job({"config_name": "d", "urls": [f"{BASE}/e.3"]}).ids[0]
+    unknown = s.create_job({"config_name": "other", "urls": [f"{BASE}/e.1"]}).ids[0]
+    bad = s.create_job({"config_name": "c", "urls": [f"{BASE}/e.4"], "max_papers": 66}).ids[0]
+    gone = jobs.create_one({"config_name": "gone", "query": "x"}).ids[0]
+
+    class Broken(Service):
+        def _of(self, name):
+            found = super()._of(name)
+            if name == "papers":
+                found = _Refusing(found)
+            return found
+
+    class _Refusing:
+        """A collection that refuses the papers of one job."""
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def create_many(self, papers):
+            if papers.where(F.col("job_id") == bad).count():
+                raise RuntimeError("refused")
+            return self.inner.create_many(papers)
+
+    assert Broken(s.catalog, BASE).run_jobs(pages, [good, plain, unknown, bad, gone]) == 2
+    shown = {r._id: (r.status, r.error_message) for r in jobs.rows().collect()}
+    assert shown == {
+        good: ("completed", None), plain: ("completed", None), bad: ("failed", "refused"),
+        unknown: ("failed", "Crawler source 'elsewhere' not implemented"), gone: ("failed", "Configuration 'gone' not found"),
+    }
+    paths = {r.job_id: r.local_pdf_path for r in s.list("papers").collect()}
+    assert paths == {good: f"{tmp_path}/c/e.1.pdf", plain: "crawled_papers/e.3.pdf"}
+    assert s.health() == {"status": "healthy"} and "message" in s.root()
+
+
+def test_a_job_runs_at_once_and_downloads(spark, tmp_path):
+    s = Service(Catalog(spark, str(tmp_path / "data")), BASE)
+    s.create_config({"name": "c", "source": "acl_anthology", "output_dir": str(tmp_path / "pdf")})
+    html = PAGES[0][1] + '<a href="https://a.example/e.1.pdf">PDF</a>'
+    pages = spark.createDataFrame([(f"{BASE}/e.1", html)], "url string, html string")
+    job = s.create_job({"config_name": "c", "urls": [f"{BASE}/e.1"]}, pages, fetch=lambda url: (200, url.encode())).ids[0]
+    assert s.get("crawler_jobs", job)["status"] == "completed"
+    row = s.list("papers").first()
+    if row.pdf_url:
+        assert (tmp_path / "pdf" / "e.1.pdf").read_bytes() == row.pdf_url.encode()
+
+
+def test_a_repeated_text_repeats_no_paper(spark):
+    papers = spark.createDataFrame([("p", "1")], "local_pdf_path string, title string")
+    texts = spark.createDataFrame([("p", "Abstract\nShort."), ("p", "Abstract\nShort.")], "local_pdf_path string, text string")
+    assert with_sections(papers, texts).count() == 1
