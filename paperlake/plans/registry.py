@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperlake.plans import read_queries, reference_queries, stream_queries, text_queries
+from paperlake.plans import read_queries, reference_queries, store_queries, stream_queries, text_queries
 
-MODULES = (text_queries, read_queries, stream_queries, reference_queries)
+MODULES = (text_queries, read_queries, stream_queries, store_queries, reference_queries)
 
 
 def queries() -> dict:

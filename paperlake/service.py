@@ -78,42 +78,44 @@ class Service:
         return made
 
     def run_jobs(
-        self, pages: DataFrame, ids: list[str], texts: DataFrame | None = None, fetch: Callable[[str], tuple[int, bytes]] | None = None
+        self,
+        pages: DataFrame,
+        ids: list[str] | None = None,
+        texts: DataFrame | None = None,
+        fetch: Callable[[str], tuple[int, bytes]] | None = None,
     ) -> int:
-        """Run jobs over stored pages as one plan; returns the number of papers stored.
+        """Run jobs, by default all that have no status yet, over stored pages as one plan; returns the number of papers stored.
 
         Every job keeps its configuration's folder.  One without configuration,
         or with a source that isn't known, fails with a message.  If the plan
-        fails, its jobs are run in two halves, and so on, until only those that
+        fails, its jobs are run in two parts, and so on, until only those that
         fail by themselves are left; these keep the error's message.  `fetch`
         downloads the papers' PDF files that aren't there yet.
         """
         jobs, configs = self._of("crawler_jobs"), self._of("crawler_configs")
-        rows = jobs.rows().where(F.col("_id").isin(ids)).select("_id", "config_name")
-        known = configs.read().select(F.col("name").alias("config_name"), "source")
-        ready: list[str] = []
-        failed: dict[str, list[str]] = {}
-        for r in rows.join(known.withColumn("found", F.lit(True)), "config_name", "left").collect():
-            if not r.found:
-                failed.setdefault(f"Configuration '{r.config_name}' not found", []).append(r._id)
-            elif r.source not in SOURCES:
-                failed.setdefault(f"Crawler source '{r.source}' not implemented", []).append(r._id)
-            else:
-                ready.append(r._id)
-        for message, lost in failed.items():
-            jobs.update_many({"_id": {"$in": lost}}, status="failed", error_message=message)
-        if not ready:
-            return 0
-        jobs.update_many({"_id": {"$in": ready}}, status="running", started_at=_now())
-        return self._run(pages, ready, texts, fetch)
-
-    def _run(self, pages: DataFrame, ids: list[str], texts: DataFrame | None, fetch: Callable | None) -> int:
+        rows = jobs.rows().where(F.col("status").isNull() if ids is None else F.col("_id").isin(ids)).select("_id", "config_name")
+        known = configs.read().select(F.col("name").alias("config_name"), "source", F.lit(True).alias("found"))
+        shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
+        error = F.when(F.col("found").isNull(), F.format_string("Configuration '%s' not found", shown("config_name"))).when(
+            ~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), F.format_string("Crawler source '%s' not implemented", shown("source"))
+        )
+        begun = cut(rows.join(known, "config_name", "left").select("_id", error.alias("error_message")))
+        now = F.lit(_now()).cast("timestamp_ntz")
+        failed = F.col("error_message").isNotNull()
+        jobs.merge(
+            begun.select("_id", F.when(failed, "failed").otherwise("running").alias("status"), "error_message", F.when(~failed, now).alias("started_at"))
+        )
+        return self._run(pages, begun.where(~failed).select("_id"), texts, fetch)
+
+    def _run(self, pages: DataFrame, ready: DataFrame, texts: DataFrame | None, fetch: Callable | None, depth: int = 0) -> int:
         jobs = self._of("crawler_jobs")
-        mine = {"_id": {"$in": ids}}
+        n = ready.count()
+        if not n:
+            return 0
         try:
             folders = self._of("crawler_configs").read().select(F.col("name").alias("config_name"), "output_dir")
-            ready = jobs.rows().where(F.col("_id").isin(ids)).withColumnRenamed("_id", "job_id").join(folders, "config_name")
-            papers = harvest(ready, pages, self.base)
+            started = jobs.rows().join(ready, "_id", "left_semi").withColumnRenamed("_id", "job_id").join(folders, "config_name")
+            papers = harvest(started, pages, self.base)
             if texts is not None:
                 papers = with_sections(papers, texts)
             papers = cut(papers)
@@ -121,12 +123,12 @@ class Service:
                 write_pdfs(to_download(papers), fetch)
             made = self._of("papers").create_many(papers)
         except Exception as e:
-            if len(ids) == 1:
-                jobs.update_many(mine, status="failed", error_message=str(e)[:500])
+            if n == 1:
+                jobs.merge(ready.select("_id", F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error_message")))
                 return 0
-            half = len(ids) // 2
-            return self._run(pages, ids[:half], texts, fetch) + self._run(pages, ids[half:], texts, fetch)
-        jobs.update_many(mine, status="completed", completed_at=_now())
+            half = F.shiftright(F.xxhash64("_id"), depth) % 2 == 0
+            return self._run(pages, ready.where(half), texts, fetch, depth + 1) + self._run(pages, ready.where(~half), texts, fetch, depth + 1)
+        jobs.merge(ready.select("_id", F.lit("completed").alias("status"), F.lit(_now()).cast("timestamp_ntz").alias("completed_at")))
         return made.created_count
 
     def health(self) -> dict[str, str]:

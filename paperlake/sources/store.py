@@ -267,6 +267,41 @@ class Collection:
     def update_by_id(self, id: str, patch: dict[str, Any] | None = None, **extra: Any) -> Updated:
         return self.update_one(self._by_id(id), patch, **extra)
 
+    def merge(self, changes: DataFrame) -> Updated:
+        """Set the columns of `changes` in the rows with the same `_id`, nulls included, all in one pass.
+
+        Ids that the collection lacks are passed over; an id given twice is an error.
+        """
+        version = self.version()
+        segments, following = self._state(version)
+        fields = [c for c in changes.columns if c != "_id"]
+        unknown = set(fields) - set(self.schema.fieldNames())
+        if unknown:
+            raise ValueError(f"unknown fields {sorted(unknown)}")
+        if not segments:
+            return Updated(False, 0, 0, "Documents not found for update")
+        now = F.lit(_now()).cast("timestamp_ntz")
+        if not changes.groupBy("_id").count().where("count > 1").isEmpty():
+            raise DuplicateKey("_id")
+        new = changes.select("_id", F.struct(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in fields)).alias("_new"))
+        df = self._of(segments).join(new, "_id", "left")
+        matches = F.col("_new").isNotNull()
+        different = F.lit(False)
+        for c in fields:
+            different = different | ~F.col(c).eqNullSafe(F.col("_new")[c])
+        counts = Observation()
+        seen = df.observe(counts, F.count_if(matches).alias("matched"), F.count_if(matches & different).alias("modified"))
+        patched = {c: F.when(matches, F.col("_new")[c]).otherwise(F.col(c)) for c in fields} | {
+            "updated_at": F.when(matches, now).otherwise(F.col("updated_at"))
+        }
+        segment = self._segment(seen.withColumns(patched))
+        n, modified = counts.get["matched"], counts.get["modified"]
+        if not n:
+            self._drop(segment)
+            return Updated(False, 0, 0, "Documents not found for update")
+        self._commit(version + 1, [segment], following)
+        return Updated(modified > 0, n, modified, "Documents updated successfully" if modified else "Documents found but no changes made")
+
     def _delete(self, query: dict[str, Any] | None, one: bool) -> Deleted:
         word = "Document" if one else "Documents"
         version = self.version()
