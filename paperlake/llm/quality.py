@@ -62,10 +62,11 @@ def _top_ngram(words: list[str], chars: int, n: int) -> float:
     """Share of the characters that the most repeated sequence of n words covers."""
     if len(words) < n + 2:
         return 0.0
-    grams = Counter(zip(*(words[i:] for i in range(n))))
-    times = max(grams.values())
-    if times < 2 or not chars:
+    every = list(zip(*(words[i:] for i in range(n))))
+    if len(set(every)) == len(every) or not chars:
         return 0.0
+    grams = Counter(every)
+    times = max(grams.values())
     return min(1.0, times * max(sum(map(len, g)) for g, k in grams.items() if k == times) / chars)
 
 
@@ -94,8 +95,8 @@ def _duplicates(parts: list[str]) -> float:
     return 1 - sum(map(len, set(parts))) / total if total else 0.0
 
 
-def statistics(text: str) -> tuple:
-    """The columns of STATISTICS for one text."""
+def statistics(text: str, for_kind: bool = False) -> tuple:
+    """The columns of STATISTICS for one text; `for_kind` leaves out, as 0, what kind() doesn't ask for in such a text."""
     words = WORDS.findall(text.lower())
     letters = sum(map(len, words))
     solid = len(text) - text.count(" ") - text.count("\n") - text.count("\t") or 1
@@ -103,6 +104,9 @@ def statistics(text: str) -> tuple:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     unspaced = [len(w) for w in words if UNSPACED.match(w)] if not text.isascii() and UNSPACED.search(text) else []
     n = len(words)
+    grams = [0.0] * 9 if for_kind and n < REPEATABLE else [*(_top_ngram(words, letters, k) for k in (2, 3, 4)), *_repeated_ngrams(words, letters)]
+    common = sum(map(COMMON_WORDS.__contains__, words)) / n if n else 0.0
+    items = 0.0 if for_kind and common >= LEAST_COMMON else _duplicates([x for x in map(str.strip, _ITEM_END.split(text.lower())) if x])
     return (
         len(text),
         n,
@@ -112,13 +116,12 @@ def statistics(text: str) -> tuple:
         len(lines),
         sum(1 for x in lines if _LINE_END.search(x[-8:])) / len(lines) if lines else 0.0,
         sum(1 for x in lines if _LIST_LINE.match(x)) / len(lines) if lines else 0.0,
-        sum(map(COMMON_WORDS.__contains__, words)) / n if n else 0.0,
+        common,
         _run_length(text, unspaced) if len(unspaced) * 2 > n or sum(unspaced) * 2 > letters else 0.0,
         _duplicates(lines),
         _duplicates([x for x in text.split("\n\n") if x and not x.isspace()]),
-        *(_top_ngram(words, letters, n) for n in (2, 3, 4)),
-        *_repeated_ngrams(words, letters),
-        _duplicates([x for x in map(str.strip, _ITEM_END.split(text.lower())) if x]),
+        *grams,
+        items,
     )
 
 

@@ -10,6 +10,10 @@ anagram hash, the sum of the fifth powers of its characters' code points.  A
 confusion such as rn for m changes that sum by a fixed difference, so a rare
 word meets its frequent variants by an equality join on hash minus difference.
 Candidates are verified on the strings and ranked by the variant's frequency.
+
+One pass over the contents counts words and finds what a line shows by itself;
+a second one finds the lines of the words that have a correction.  A content
+in one line shows no page, and is only counted.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ PART = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-‐‑¬]$")
 _GOES_ON = re.compile(r"[\"'“„«(]*([^\W\d_][^\W_]*(?:-[^\W_]+)*)")
 _DIGIT_INSIDE = re.compile(r"(?<![\w.])[^\W\d_]*[a-zà-öø-ÿ][0-9][a-zà-öø-ÿ][^\W_]*|(?<![\w.\-])(?:(?![\u0e00-\u0e7f\u3040-ヿ㐀-鿿豈-\ufaff])[^\W\d_]){3,}[0-9](?![\w.\-])|(?<![\w.\-])[0-9][^\W\d_]{4,}")
+# What all of these have, and few texts.
+_DIGIT_NEAR = re.compile(r"[0-9](?=[^\W\d_])|[0-9](?<=[^\W\d_][0-9])")
 # A version such as v5.3 is no word.
 _VERSION = re.compile(r"(?<![^\W_])[^\W\d_][0-9]+(?=\.[0-9])")
 _PAGE_NUMBER = re.compile(
@@ -111,7 +117,8 @@ def dropped_lines(lines: list[str], title: str | None, authors: list[str] | None
     numbers = set()
     for i, raw in enumerate(lines):
         line = raw.strip()
-        if not line or len(line) > _LONGEST_HEADER:
+        # A header is the title, with names and a number, or shorter.
+        if not line or len(line) > max(_LONGEST_HEADER, len(title or "") + _LONGEST_HEADER // 2):
             continue
         if _SPECK.fullmatch(line):
             out.add(i)
@@ -171,52 +178,70 @@ class Counts:
         return [(w, self.whole.get(w, 0), self.broken.get(w, 0), self.paged.get(w, 0)) for w in words]
 
 
+def text_lines(lines: list[str], dropped: set[int], cuts: list[tuple[int, int, str, str]]) -> list[tuple[int, str]]:
+    """(number, line) of the lines of text, without the parts of words that are broken at their ends."""
+    open_at = {i: a for i, _, a, _ in cuts}
+    goes_on = {j: b for _, j, _, b in cuts}
+    out = []
+    for i, line in enumerate(lines):
+        if i in dropped or not line or line.isspace():
+            continue
+        if i in goes_on:
+            line = line[line.index(goes_on[i]) + len(goes_on[i]) :]
+        if i in open_at:
+            line = line.rstrip()[: -1 - len(open_at[i])]
+        out.append((i, line))
+    return out
+
+
 def read_content(content: str, title: str | None, authors: list[str] | None, counts: Counts) -> list[tuple]:
-    """Counts the words of a content, and returns (line, what, word, other, words) for what its lines may need.
+    """Counts the words of a content, and returns (line, what, word, other) for what its lines show by themselves.
 
     drop: the line is none of the text.  join: a word broken at the line's end,
-    with and without its hyphen.  broken: the same word, to be looked up among
-    the misread ones; other holds the number of the next line and the length
-    of the first part.  words: the other words of the line.  chars: a digit
-    inside a word.  Contents that are no prose, or have no line
-    break, only count their words.
+    with and without its hyphen.  chars: a digit inside a word.  Contents that
+    are no prose, or have no line break, only count their words.
     """
-    if "\n" not in content:
+    if "\n" not in content or kind(statistics(content, True)) != "prose":
         counts.add(TOKEN.findall(content.lower()), False)
         return []
     lines = content.split("\n")
     dropped = dropped_lines(lines, title, authors)
     cuts = breaks(lines, dropped)
-    if kind(statistics(content)) != "prose":
-        counts.add(TOKEN.findall(content.lower()), False)
-        return []
-    out: list[tuple] = [(i, "drop", None, None, None) for i in sorted(dropped)]
-    open_at = {i: a for i, _, a, _ in cuts}
-    goes_on = {j: b for _, j, _, b in cuts}
-    for i, j, a, b in cuts:
+    out: list[tuple] = [(i, "drop", None, None) for i in sorted(dropped)]
+    for i, _, a, b in cuts:
         word = (a + b).lower()
         counts.broken[word] += 1
         counts.paged[word] += 1
-        out.append((i, "join", word, f"{a}-{b}".lower(), None))
-        out.append((i, "broken", word, f"{j} {len(a)}", None))
-    for i, line in enumerate(lines):
-        if i in dropped or not line or line.isspace():
-            continue
-        if _DIGIT_INSIDE.search(line):
-            out.append((i, "chars", None, None, None))
-        if i in goes_on:
-            line = line[line.index(goes_on[i]) + len(goes_on[i]) :]
-        if i in open_at:
-            line = line.rstrip()[: -1 - len(open_at[i])]
-        tokens = TOKEN.findall(line.lower())
-        counts.add(tokens, True)
-        words = {w for t in tokens for w in t.split("-") if len(w) > 1 and not w.isdigit()}
-        words.difference_update(_VERSION.findall(line.lower()))
-        if words:
-            out.append((i, "words", None, None, list(words)))
+        out.append((i, "join", word, f"{a}-{b}".lower()))
+    if _DIGIT_NEAR.search(content):
+        out += [(i, "chars", None, None) for i, x in enumerate(lines) if i not in dropped and _DIGIT_INSIDE.search(x)]
+    counts.add(TOKEN.findall("\n".join(x for _, x in text_lines(lines, dropped, cuts)).lower()), True)
     return out
 
 
+def misread_words(content: str, title: str | None, authors: list[str] | None, wanted: frozenset[str] | None) -> list[tuple]:
+    """(line, next line, cut at, word) for the words on the lines of prose with line breaks, all or those that are wanted.
+
+    A word broken at the end of a line has the number of the next line and the
+    length of its first part; for others these are null and 0.
+    """
+    if "\n" not in content:
+        return []
+    lines = content.split("\n")
+    if wanted is not None and wanted.isdisjoint(PART.findall(content.lower())) and not any(x.rstrip()[-1:] in "-‐‑¬" for x in lines if x):
+        return []
+    dropped = dropped_lines(lines, title, authors)
+    cuts = breaks(lines, dropped)
+    out = []
+    for i, line in text_lines(lines, dropped, cuts):
+        line = line.lower()
+        words = {w for w in PART.findall(line) if len(w) > 1 and not w.isdigit()}
+        words.difference_update(_VERSION.findall(line))
+        out += [(i, None, 0, w) for w in (words & wanted if wanted is not None else words)]
+    out += [(i, j, len(a), w) for i, j, a, b in cuts if (w := (a + b).lower()) and (wanted is None or w in wanted)]
+    return out if out and kind(statistics(content, True)) == "prose" else []
+
+
 def read_pages(pages: DataFrame) -> DataFrame:
     """One pass over all contents: word counts, added up per Arrow batch, and what the lines may need."""
 
@@ -224,14 +249,13 @@ def read_pages(pages: DataFrame) -> DataFrame:
         counts, out = Counts(), []
         for p, k, c, t, a in zip(paper, key, content, title, authors):
             out += [(p, k, *row, None, None, None) for row in read_content(c, t, a, counts)]
-        out += [(None, None, None, "count", w, None, None, n, b, g) for w, n, b, g in counts.rows()]
+        out += [(None, None, None, "count", w, None, n, b, g) for w, n, b, g in counts.rows()]
         return out
 
     return map_lists(
         pages.select(*KEYS, "content", "title", "authors").where(F.length("content") > 0),
         rows,
-        "paper_id string, section_key string, line_no int, what string, word string, other string,"
-        " words array<string>, n bigint, broken bigint, paged bigint",
+        "paper_id string, section_key string, line_no int, what string, word string, other string, n bigint, broken bigint, paged bigint",
     )
 
 
@@ -308,6 +332,32 @@ def corrections(words: DataFrame) -> DataFrame:
     return verified.groupBy("word").agg(best.alias("b")).select("word", "b.correct", "b.at")
 
 
+#: Corrected words up to this number are broadcast (some 2 MB); beyond it the words of all lines are joined with them.
+MOST_BROADCAST = 50_000
+
+
+def misread_lines(pages: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(paper_id, section_key, line_no, word, correct) for the words of `fixes` (word, correct, at) on the lines of text.
+
+    While there are few fixes the contents are filtered by them in one pass;
+    otherwise all words are shuffled.  Both ways give the same rows.
+    """
+    few = fixes.select("word").limit(MOST_BROADCAST + 1).collect()
+    only = frozenset(r.word for r in few) if len(few) <= MOST_BROADCAST else None
+    shared = pages.sparkSession.sparkContext.broadcast(only)
+
+    def rows(paper: list, key: list, content: list, title: list, authors: list) -> list[tuple]:
+        return [(p, k, *x) for p, k, c, t, a in zip(paper, key, content, title, authors) for x in misread_words(c, t, a, shared.value)]
+
+    found = map_lists(
+        pages.select(*KEYS, "content", "title", "authors").where(F.length("content") > 0),
+        rows,
+        "paper_id string, section_key string, line_no int, next_line int, cut_at int, word string",
+    )
+    at = F.when(F.col("next_line").isNotNull() & (F.col("at") >= F.col("cut_at")), F.col("next_line")).otherwise(F.col("line_no"))
+    return found.join(fixes, "word").select(*KEYS, at.alias("line_no"), "word", "correct")
+
+
 def repairs(pages: DataFrame) -> DataFrame:
     """(paper_id, section_key, line_no, repair, word, correct): what every line needs.
 
@@ -321,8 +371,8 @@ def repairs(pages: DataFrame) -> DataFrame:
     read = cut(read_pages(pages))
     words = cut(vocabulary(read))
     known = words.select("word", "n")
-    fixes = corrections(words)
-    found = read.where(F.col("what") != "count").select(*KEYS, "line_no", "what", "word", "other", "words")
+    fixes = cut(corrections(words))
+    found = read.where(F.col("what") != "count").select(*KEYS, "line_no", "what", "word", "other")
     plain_rows = found.where(F.col("what").isin("drop", "chars")).select(
         *KEYS, "line_no", F.col("what").alias("repair"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correct")
     )
@@ -342,28 +392,7 @@ def repairs(pages: DataFrame) -> DataFrame:
     joins = parts.where(~compound).select(
         *KEYS, "line_no", F.lit("join").alias("repair"), "word", F.lit(None).cast("string").alias("correct")
     )
-    looked_up = (
-        found.where(F.col("what") == "words")
-        .select(*KEYS, "line_no", F.lit(None).cast("int").alias("next_line"), F.lit(0).alias("cut_at"), F.explode("words").alias("word"))
-        .unionByName(
-            found.where(F.col("what") == "broken").select(
-                *KEYS,
-                "line_no",
-                F.split_part("other", F.lit(" "), F.lit(1)).cast("int").alias("next_line"),
-                F.split_part("other", F.lit(" "), F.lit(2)).cast("int").alias("cut_at"),
-                "word",
-            )
-        )
-    )
-    chars = looked_up.join(fixes, "word").select(
-        *KEYS,
-        F.when(F.col("next_line").isNotNull() & (F.col("at") >= F.col("cut_at")), F.col("next_line"))
-        .otherwise(F.col("line_no"))
-        .alias("line_no"),
-        F.lit("chars").alias("repair"),
-        "word",
-        "correct",
-    )
+    chars = misread_lines(pages, fixes).select(*KEYS, "line_no", F.lit("chars").alias("repair"), "word", "correct")
     return plain_rows.unionByName(joins).unionByName(chars).distinct()
 
 

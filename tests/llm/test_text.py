@@ -167,7 +167,7 @@ def pages(spark):
     return spark.createDataFrame(rows, "paper_id string, section_key string, content string, title string, authors array<string>").withColumn("word", F.lit("clash"))
 
 
-def test_scanned_page(spark):
+def test_scanned_page(spark, monkeypatch):
     found = P.repairs(pages(spark))
     got = {(r.line_no, r.repair) for r in found.where("paper_id = 'p'").collect()}
     assert got == {
@@ -180,16 +180,28 @@ def test_scanned_page(spark):
         " and the model wins every time that it is used by the readers of some text."
     )
     assert P.repairs(pages(spark).limit(0)).count() == 0
+    # Without a broadcast the words of all lines are joined with the corrections.
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    assert sorted(map(str, P.repairs(pages(spark)).collect())) == sorted(map(str, found.collect()))
+
+
+def test_kind_needs_no_more_than_it_is_given():
+    for text in [*PROSE.values(), *JUNK, "The words of the text are rare. " * 12, "Home | Search | Next | Home | Help | Next | Login | Home"]:
+        assert kind(statistics(text)) == kind(statistics(text, True))
 
 
 def test_lines_that_end_sentences_are_read_too():
     """Half of the lines, or both of two, end in a full stop; misread words and digits are looked up all the same."""
     for lines in (["It is the systerne of the text.", "The m5del of all that we have is it."], ["We use the systerne", "of the text.", "The m5del of it is", "in the text."]):
-        rows = P.read_content("\n".join(lines), None, None, P.Counts())
-        assert any(what == "words" and "systerne" in words for _, what, _, _, words in rows)
-        assert any(what == "chars" for _, what, *_ in rows)
-    rows = P.read_content("审稿人写道：“摘要很好。”模型（见附录2）尚未公开。\n比NefiParse v5.1高5.7分。为什么自然的表示如此重要？", None, None, P.Counts())
-    assert not any(what == "chars" or "v5" in (words or ()) for _, what, _, _, words in rows)
+        text = "\n".join(lines)
+        assert any(what == "chars" for _, what, *_ in P.read_content(text, None, None, P.Counts()))
+        every = P.misread_words(text, None, None, None)
+        assert "systerne" in {w for *_, w in every}
+        assert P.misread_words(text, None, None, frozenset({"systerne"})) == [x for x in every if x[3] == "systerne"]
+    zh = "审稿人写道：“摘要很好。”模型（见附录2）尚未公开。\n比NefiParse v5.1高5.7分。为什么自然的表示如此重要？"
+    assert not any(what == "chars" for _, what, *_ in P.read_content(zh, None, None, P.Counts()))
+    assert "v5" not in {w for *_, w in P.misread_words(zh, None, None, None)}
+    assert P.misread_words("one line with systerne", None, None, None) == []
 
 
 def test_anagram_differences(spark):
