@@ -22,4 +22,38 @@ def p9_leaked_items(spark: SparkSession, data: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items}
-SQL: dict[str, str] = {}
+_LEAKS = r"""
+WITH t AS (
+  SELECT 'doc' AS side, doc_id AS id, text FROM documents WHERE text <> '' UNION ALL
+  SELECT 'item', item_id, text FROM eval_items WHERE text <> ''
+), w AS (
+  SELECT DISTINCT side, id, list_filter(string_split(regexp_replace(regexp_replace(lower(nfc_normalize(text)),
+           '[\x{00ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words,
+         length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]', '', 'g')) * 3 > length(text) AS east
+  FROM t
+), s AS (
+  SELECT side, id, east, words, array_to_string(words, '') AS chars FROM w
+), items AS (
+  SELECT id, east, CASE WHEN east THEN string_split(chars, '') ELSE words END AS parts FROM s WHERE side = 'item' AND len(words) > 0
+), item_sizes AS (
+  SELECT *, CASE WHEN east THEN least(40, len(parts)) ELSE least(12, len(parts)) END AS n FROM items
+), item_windows AS (
+  SELECT DISTINCT id, east, n, unnest(list_transform(range(1, len(parts) - n + 2), lambda i: array_to_string(parts[i : i + n - 1], ' '))) AS passage FROM item_sizes
+), sizes AS (SELECT DISTINCT east, n FROM item_sizes
+), docs AS (
+  SELECT id, false AS east, words AS parts FROM s WHERE side = 'doc' UNION ALL
+  SELECT id, true, string_split(chars, '') FROM s WHERE side = 'doc' AND regexp_matches(chars, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]')
+), doc_windows AS (
+  SELECT id, east, n, unnest(list_transform(range(1, len(parts) - n + 2), lambda i: array_to_string(parts[i : i + n - 1], ' '))) AS passage
+  FROM docs JOIN sizes USING (east)
+), found AS (
+  SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM doc_windows d JOIN item_windows i USING (east, n, passage)
+)
+"""
+
+SQL = {
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM found",
+    "p9_leaked_items": _LEAKS
+    + """SELECT e.item_id, e.task, e.lang, coalesce(n, 0) AS n_docs FROM (SELECT DISTINCT item_id, task, lang FROM eval_items) e
+         LEFT JOIN (SELECT item_id, count(*) AS n FROM found GROUP BY item_id) f USING (item_id)""",
+}

@@ -48,7 +48,17 @@ def p2_titles(spark: SparkSession, data: str) -> DataFrame:
     return consensus_values(votes).select(F.col("group").alias("group_id"), F.col("value").alias("title"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_titles": p2_titles}
+def p2_clear_titles(spark: SparkSession, data: str) -> DataFrame:
+    """The titles of p2_titles where more than half of a paper's records with a title have one title."""
+    papers = _papers(spark, data).where(F.col("group_key").isNotNull() & F.col("title").isNotNull()).select("_id", "group_key", "title").distinct()
+    most = papers.groupBy("group_key", "title").agg(F.count(F.lit(1)).alias("k"))
+    total = papers.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"))
+    clear = most.join(total, "group_key").where(2 * F.col("k") > F.col("n")).select("group_key")
+    ids = _papers(spark, data).groupBy("group_key").agg(F.min("_id").alias("group_id"))
+    return p2_titles(spark, data).join(clear.join(ids, "group_key").select("group_id"), "group_id", "left_semi")
+
+
+QUERIES = {"p2_found": p2_found, "p2_titles": p2_titles, "p2_clear_titles": p2_clear_titles}
 
 # Ties of rank with different values, which the operator settles by consensus, don't occur in this data.
 SQL = {
@@ -71,4 +81,17 @@ WITH p AS (
   FROM p JOIN g USING (k) WHERE chars > 0
 )
 SELECT group_id, field_name, paper_id FROM u WHERE rn = 1""",
+    "p2_clear_titles": """
+WITH p AS (
+  SELECT DISTINCT _id, title,
+         nullif(replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(lower(source_id), '\\s+', '', 'g'), '[/?#]+$', ''),
+           '([^/]*)$', 1), '\\.pdf$', ''), '_', '-'), '') AS k
+  FROM papers
+), g AS (
+  SELECT k, min(_id) AS group_id FROM p WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT _id) > 1
+), v AS (
+  SELECT group_id, title, count(*) AS n, sum(count(*)) OVER (PARTITION BY group_id) AS total
+  FROM p JOIN g USING (k) WHERE title IS NOT NULL GROUP BY group_id, title
+)
+SELECT group_id, title FROM v WHERE 2 * n > total""",
 }
