@@ -37,15 +37,19 @@ WITH t AS (
   SELECT id, east, CASE WHEN east THEN string_split(chars, '') ELSE words END AS parts FROM s WHERE side = 'item' AND len(words) > 0
 ), item_sizes AS (
   SELECT *, CASE WHEN east THEN least(40, len(parts)) ELSE least(12, len(parts)) END AS n FROM items
-), item_windows AS (
-  SELECT DISTINCT id, east, n, unnest(list_transform(range(1, len(parts) - n + 2), lambda i: array_to_string(parts[i : i + n - 1], ' '))) AS passage FROM item_sizes
 ), sizes AS (SELECT DISTINCT east, n FROM item_sizes
-), docs AS (
-  SELECT id, false AS east, words AS parts FROM s WHERE side = 'doc' UNION ALL
-  SELECT id, true, string_split(chars, '') FROM s WHERE side = 'doc' AND regexp_matches(chars, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]')
+), texts AS (
+  SELECT 'item' AS side, id, east, parts FROM item_sizes UNION ALL
+  SELECT 'doc', id, false, words FROM s WHERE side = 'doc' UNION ALL
+  SELECT 'doc', id, true, string_split(chars, '') FROM s WHERE side = 'doc' AND regexp_matches(chars, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]')
+), tokens AS (
+  SELECT side, id, east, unnest(parts) AS token, generate_subscripts(parts, 1) AS place FROM texts
+), runs AS (
+  SELECT side, id, east, list(token) OVER (PARTITION BY side, id, east ORDER BY place ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING) AS run FROM tokens
+), item_windows AS (
+  SELECT DISTINCT r.id, r.east, n, array_to_string(run[1:n], ' ') AS passage FROM runs r JOIN item_sizes z ON z.id = r.id AND side = 'item' WHERE len(run) >= n
 ), doc_windows AS (
-  SELECT id, east, n, unnest(list_transform(range(1, len(parts) - n + 2), lambda i: array_to_string(parts[i : i + n - 1], ' '))) AS passage
-  FROM docs JOIN sizes USING (east)
+  SELECT id, r.east, n, array_to_string(run[1:n], ' ') AS passage FROM runs r JOIN sizes z ON r.east = z.east AND side = 'doc' WHERE len(run) >= n
 ), found AS (
   SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM doc_windows d JOIN item_windows i USING (east, n, passage)
 )
