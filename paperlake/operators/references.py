@@ -18,10 +18,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.session import cut
+
 #: A key with at least this many references is spread over SALTS rows when the
 #: state is joined back to the child rows.
 HOT_REFERENCES = 100_000
 SALTS = 32
+#: Hot keys up to this number are broadcast to the child rows; there is one for HOT_REFERENCES rows at most.
+MOST_HOT = 50_000
 
 
 def usable(reference: Column) -> Column:
@@ -111,13 +115,17 @@ def broken_references(
         (F.col("refs") > 0)
         & ((F.col("parents") <= 0) | (F.col("first_ref_at") < F.col("parent_at")))
     )
-    hot = F.col("refs") >= HOT_REFERENCES
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    suspect = cut(suspect.select("key", "refs", "parents", "parent_at"))
+    is_hot = F.col("refs") >= HOT_REFERENCES
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
     spread = suspect.select("key", "parents", "parent_at", F.explode(copies).alias("salt"))
-    # A child row takes part once for the plain copy and once for its salt, as
-    # it cannot know which of the two its key has.
     own = F.pmod(F.xxhash64("child_id"), F.lit(SALTS)).cast("int")
-    placed = child.withColumn("salt", F.explode(F.array(F.lit(-1), own)))
+    hot = suspect.where(is_hot).select("key", F.lit(True).alias("hot"))
+    if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
+        placed = child.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), own).otherwise(F.lit(-1))).drop("hot")
+    else:
+        # Too many to tell every row whether its key is one: each takes part for the plain copy and for its salt.
+        placed = child.withColumn("salt", F.explode(F.array(F.lit(-1), own)))
     return (
         placed.join(spread, ["key", "salt"])
         .withColumn(

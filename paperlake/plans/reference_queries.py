@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.operators.references import broken_references, existence_deltas, fold, orphan_keys, reference_deltas, reference_report
-from paperlake.session import table
+from paperlake.operators.references import broken_references, changed, existence_deltas, fold, orphan_keys, reference_deltas, reference_report
+from paperlake.session import cut, table
 
 
 def _all_broken(spark: SparkSession, data: str) -> DataFrame:
@@ -42,6 +42,28 @@ def p3_orphan_keys(spark: SparkSession, data: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p3_maintained(spark: SparkSession, data: str) -> DataFrame:
+    """Orphan keys of papers after a batch of changes: a stored state and the changes' deltas, not the tables again.
+
+    Before the batch there are no completed jobs and no papers since 2015; it
+    adds these, and deletes the failed jobs and the papers without a year.
+    """
+    jobs = table(spark, data, "crawler_jobs").select("_id", "created_at", "status")
+    papers = table(spark, data, "papers").select("_id", "job_id", "created_at", "year")
+    old_jobs, new_jobs = jobs.where(~F.col("status").eqNullSafe("completed")), jobs.where(~F.col("status").eqNullSafe("failed"))
+    old_papers, new_papers = papers.where(F.coalesce(F.col("year") < 2015, F.lit(True))), papers.where(F.col("year").isNotNull())
+    state = cut(
+        fold(
+            reference_deltas(old_papers.dropDuplicates(["_id"]), "job_id", "created_at"),
+            existence_deltas(old_jobs.dropDuplicates(["_id"]), "_id", "created_at"),
+        )
+    )
+    after = fold(
+        state, changed(old_papers, new_papers, "_id", "job_id", "created_at", "child"), changed(old_jobs, new_jobs, "_id", "_id", "created_at", "parent")
+    )
+    return orphan_keys(after).select("key", F.col("refs").alias("n_refs"))
+
+
 _BROKEN = """
 WITH child AS (
   SELECT DISTINCT 'papers' AS child_table, _id AS child_id, job_id AS k, created_at FROM papers
@@ -59,7 +81,7 @@ WITH child AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_orphan_keys": p3_orphan_keys}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_orphan_keys": p3_orphan_keys, "p3_maintained": p3_maintained}
 
 SQL = {
     "p3_found": _BROKEN + "SELECT DISTINCT child_table, child_id, ref_state FROM broken WHERE ref_state IS NOT NULL",
@@ -70,4 +92,8 @@ SQL = {
     "p3_orphan_keys": _BROKEN
     + """SELECT child_table, k AS key, count(DISTINCT child_id) AS n_refs
          FROM broken WHERE ref_state = 'missing' GROUP BY ALL""",
+    "p3_maintained": """
+      SELECT job_id AS key, count(DISTINCT _id) AS n_refs FROM papers
+      WHERE year IS NOT NULL AND regexp_replace(job_id, '\\s', '', 'g') <> ''
+        AND job_id NOT IN (SELECT _id FROM crawler_jobs WHERE status IS DISTINCT FROM 'failed') GROUP BY job_id""",
 }
