@@ -38,4 +38,29 @@ def p7_normal_values(spark: SparkSession, data: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_normal_values": p7_normal_values}
-SQL: dict[str, str] = {}
+# The repairs with one reading, and words of mixed scripts.  That the vocabulary has the readings of these is not asked
+# again here: in the tables it has them all.
+_EAST = r"\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+_LATIN, _CYRILLIC, _GREEK = r"A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{1d00}-\x{1dbf}\x{1e00}-\x{1eff}", r"\x{400}-\x{52f}\x{1c80}-\x{1c8f}", r"\x{370}-\x{3ff}\x{1f00}-\x{1fff}"
+_ANY = _LATIN + _CYRILLIC + _GREEK + r"\x{300}-\x{36f}"
+_MIXED = "|".join(f"[{x}][{_ANY}]*[{y}]" for x in (_LATIN, _CYRILLIC, _GREEK) for y in (_LATIN, _CYRILLIC, _GREEK) if x != y)
+
+SQL = {
+    "p7_found": rf"""
+WITH v AS (
+  SELECT _id, 'title' AS field_name, title AS value FROM papers UNION ALL
+  SELECT _id, 'authors', unnest(authors) FROM papers UNION ALL
+  SELECT _id, e.key, e.value.content FROM (SELECT _id, unnest(map_entries(sections)) AS e FROM papers)
+), u AS (
+  SELECT _id, field_name, nfc_normalize(value) AS n, value, regexp_matches(value, '[{_EAST}]') AS east FROM v WHERE regexp_matches(value, '[^\x00-\x7f]')
+), k AS (
+  SELECT *, regexp_replace(CASE WHEN east THEN regexp_replace(n, '(^|\n|[\x{{3001}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ff01}}-\x{{ff1f}}])\x{{3000}}+', '\1', 'g') ELSE n END,
+           '\x{{94d}}[\x{{200c}}\x{{200d}}]+', '', 'g') AS x FROM u
+)
+SELECT DISTINCT _id AS paper_id, field_name FROM k
+WHERE n <> value
+   OR regexp_matches(x, '[\x{{ad}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{2060}}-\x{{2064}}\x{{feff}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]')
+   OR regexp_matches(x, '[\x{{2010}}\x{{2011}}\x{{2043}}\x{{fe63}}\x{{ff0d}}\x{{fb00}}-\x{{fb06}}\x{{ff10}}-\x{{ff19}}\x{{ff21}}-\x{{ff3a}}\x{{ff41}}-\x{{ff5a}}\x{{1d400}}-\x{{1d7ff}}\x{{ff61}}-\x{{ff9f}}]')
+   OR NOT east AND regexp_matches(x, '[\x{{ff01}}-\x{{ff0f}}\x{{ff1a}}-\x{{ff20}}\x{{ff3b}}-\x{{ff40}}\x{{ff5b}}-\x{{ff60}}\x{{ffe0}}-\x{{ffe6}}]')
+   OR regexp_matches(x, '{_MIXED}')""",
+}
