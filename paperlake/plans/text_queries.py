@@ -46,6 +46,15 @@ def q_find_headings(spark: SparkSession, data: str) -> DataFrame:
     return found.select("paper_id", F.col("h.title").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start_char")).distinct()
 
 
+def q_unnumbered_headings(spark: SparkSession, data: str) -> DataFrame:
+    """Headings without a number, in texts with other line ends, around a line that is none: every paper's title after a dash."""
+    title = F.concat(F.lit("- "), F.regexp_replace(F.coalesce("title", F.lit("")), r"[\s\x1c-\x1f\x85\u2028\u2029]", " "))
+    parts = [F.lit("Abstract\r\n"), title, F.lit("\x0cEthics Statement\x0bNot a Heading\u2028limitations\rReferences\x85"), title]
+    texts = table(spark, data, "papers").select(F.col("_id").alias("paper_id"), F.concat(*parts).alias("text"))
+    found = texts.select("paper_id", F.explode(S.headings(F.col("text"))).alias("h"))
+    return found.select("paper_id", F.col("h.title").alias("title"), F.col("h.level").alias("level"), F.col("h.start").alias("start_char")).distinct()
+
+
 def _sections(spark: SparkSession, data: str) -> DataFrame:
     return _texts(spark, data).select("paper_id", F.explode(S.sections(F.col("text"))).alias("s"))
 
@@ -321,6 +330,11 @@ SQL = {
       )
       SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_char, n_chars
       FROM m WHERE n_chars > 0""",
+    "q_unnumbered_headings": """
+      WITH t AS (SELECT DISTINCT _id, coalesce(length(title), 0) + 2 AS n FROM papers)
+      SELECT _id AS paper_id, 'Abstract' AS title, 1 AS level, 0 AS start_char FROM t
+      UNION SELECT _id, 'Ethics Statement', 1, CAST(11 + n AS INT) FROM t
+      UNION SELECT _id, 'References', 1, CAST(54 + n AS INT) FROM t""",
     "q_find_headings": f"{_TEXT} SELECT DISTINCT _id AS paper_id, title, CAST(level AS INT) AS level, CAST(pos AS INT) AS start_char FROM head",
     "q_section_spans": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(pos AS INT) AS start_char, CAST(until AS INT) AS end_char FROM span",
     "q_section_content": f"{_TEXT} SELECT DISTINCT _id AS paper_id, CAST(pos AS INT) AS start_char, {_CUT} AS content FROM span",
