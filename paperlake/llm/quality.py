@@ -199,3 +199,14 @@ def quality(texts: DataFrame, text: str = "content", keys: tuple[str, ...] = ("p
         return out
 
     return map_lists(base, rows, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {STATISTICS}, kind string")
+
+
+def unnatural(texts: DataFrame, text: str = "content", keys: tuple[str, ...] = ("paper_id", "section_key")) -> DataFrame:
+    """keys..., `kind` of every text that is not prose; as quality(), but without the statistics that no rule asks for."""
+    base = texts.select(*keys, F.col(text).alias("text")).where(F.length("text") > 0)
+    types = {f.name: f.dataType.simpleString() for f in base.schema}
+
+    def rows(*columns: list) -> list[tuple]:
+        return [(*key, k) for *key, value in zip(*columns) if (k := kind(statistics(value, True))) != "prose"]
+
+    return map_lists(base, rows, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", kind string")

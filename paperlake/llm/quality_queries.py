@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperlake.llm.inputs import sections
-from paperlake.llm.quality import quality
+from paperlake.llm.quality import quality, unnatural
 
 
 def p5_found(spark: SparkSession, data: str) -> DataFrame:
-    return quality(sections(spark, data)).where(F.col("kind") != "prose").select("paper_id", "section_key").distinct()
+    return unnatural(sections(spark, data)).select("paper_id", "section_key").distinct()
 
 
 def p5_statistics(spark: SparkSession, data: str) -> DataFrame:
