@@ -313,6 +313,7 @@ def test_more_of_the_same_changes_nothing(spark):
     text = (
         ["They saw cats, dogs etc. and one more. The rest left."] * 57
         + ["They saw cats, dogs etc and one more. The rest left.", "We ask what this is. The end came."]
+        + ["We saw Anna Bella with Clara Dora of Essen before noon. The rest came with Emil Frank and Gerda Hanne."] * 300
         + ["The departm. of one city and the departm. of the other met. We left."] * 150
         + ["He lives at no. 4 with vitamin C. The others left.", "By J. Mills and J. Mills of one town. We met J. Mills. It rained."] * 20
     )
