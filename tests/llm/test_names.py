@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
 from paperlake.llm.graph import components
@@ -134,6 +135,15 @@ def test_components_equal_union_find(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_planned_size_does_not_grow_with_the_rounds(spark):
+    """Before, the estimate had so many times the digits after each round that the driver ran out of memory."""
+    estimate = lambda df: df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    ids = spark.range(100)
+    short, long = (components(ids.where(F.col("id") < n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))) for n in (1, 100))
+    assert estimate(short) == estimate(long)
+    assert {(r.node, r.component) for r in long.collect()} == {(i, 0) for i in range(101)}
+
+
 def test_pairs_by_blocks_equal_all_pairs(spark):
     """On keys of people with typos, blocking finds every pair that comparing all pairs finds."""
     random.seed(4)
