@@ -1,12 +1,12 @@
 """Filling fixed-capacity containers with items.
 
 Hierarchical residual packing.  Every partition packs its items best-fit.
-Containers that come out nearly full are final; the others are items of the
-next round, which merges the residues of several partitions and packs again,
-until one partition is left.  Two containers can only be put together if one
-is at most half full.  Best fit leaves one of those in a portion, so the next
-round needs these and as many of the emptiest others to take them; the rest
-is final too, which keeps the residue as small as the number of portions.
+The next round merges the residues of several partitions and packs again, until
+no two containers fit together.  Two can only be put together if one is at most
+half full.  Best fit leaves one of those in a portion, so the next round needs
+these and just as many of the emptiest others to take them: what a fuller one
+can take, one of these can take too.  The rest is final, which keeps the
+residue as small as the number of portions.
 Only ids and sizes are moved, never texts; what each container holds is looked
 up at the end.
 """
@@ -20,8 +20,6 @@ from paperlake.llm.inputs import map_lists
 from paperlake.llm.tokens import CAPACITY, TOKENIZERS, cut, encoding
 from paperlake.session import cut as written
 
-#: A container with at most this share of its space left is final.
-NEARLY_FULL = 0.002
 #: Items or containers that a task holds at once; what it packs is packed in portions of so many.
 PORTION = 500_000
 FAN_IN = 8
@@ -111,21 +109,21 @@ def _pack(items: DataFrame, capacity: int, size: str, schema: str, number: int)
 
 
 def _residue(bins: DataFrame, capacity: int) -> DataFrame | None:
-    """The bins of the next round: those at most half full, and of the others the emptiest, at least as many; None if none fit together."""
+    """The bins of the next round: those at most half full, and of the others the emptiest, as many; None if none fit together."""
     # One row for each possible size.
     count = dict(sorted((r.used, r.n) for r in bins.groupBy("used").agg(F.count(F.lit(1)).alias("n")).collect()))
     small = sum(n for used, n in count.items() if 2 * used <= capacity)
-    full = capacity - int(capacity * NEARLY_FULL)
-    others = {used: n for used, n in count.items() if 2 * used > capacity and used < full and used + min(count) <= capacity}
+    others = {used: n for used, n in count.items() if 2 * used > capacity and used + min(count) <= capacity}
     if small < 1 or small == 1 and not others:
         return None
     kept, wanted = F.col("used") * 2 <= capacity, small
     for used, n in others.items():
-        # Of equals about twice as many as are wanted.
-        every = max(1, n // (2 * wanted))
-        kept = kept | (F.col("used") == used) & (F.pmod(F.xxhash64("bin"), F.lit(every)) == 0)
+        if n > wanted:
+            # Of equals just as many as are wanted.
+            return bins.where(kept).unionByName(bins.where(F.col("used") == used).orderBy("bin").limit(wanted))
+        kept = kept | (F.col("used") == used)
         wanted -= n
-        if wanted <= 0:
+        if not wanted:
             break
     return bins.where(kept)
 
@@ -143,7 +141,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bins = placed.groupBy("bin").agg(F.sum(F.greatest("n_tokens", F.lit(1))).cast("int").alias("used"))
     partitions = max(1, placed.rdd.getNumPartitions())
     moves: list[DataFrame] = []
-    while not moves or partitions > 1:
+    while True:
         bins = written(bins)
         residue = _residue(bins, capacity)
         if residue is None:

@@ -191,6 +191,18 @@ def test_tiny_items_do_not_hold_up_the_rest(spark, n):
     assert len({r.container_id for r in got}) == n
 
 
+def test_residue_has_a_taker_for_every_small_bin(spark):
+    """As many of the emptiest others as there are bins at most half full, whatever their ids and however little they have left."""
+    ids = spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1).limit(4).select(F.col("id").alias("bin"), F.lit(60).alias("used"))
+    small = spark.createDataFrame([(1000, 30)], "bin bigint, used int")
+    assert sorted(r.used for r in K._residue(ids.unionByName(small), 100).collect()) == [30, 60]
+    nearly_full = spark.createDataFrame([(1, 2045), (2, 2048), (3, 2)], "bin bigint, used int")
+    assert sorted(r.bin for r in K._residue(nearly_full, 2048).collect()) == [1, 3]
+    assert K._residue(nearly_full.where("bin < 3"), 2048) is None
+    several = spark.createDataFrame([(i, 40) for i in range(3)] + [(10, 55), (11, 58), (12, 58), (13, 60)], "bin bigint, used int")
+    assert sorted(r.used for r in K._residue(several, 100).collect()) == [40, 40, 40, 55, 58, 58]
+
+
 @needs_tokenizer
 def test_containers(spark):
     rows = [(1, TEXTS["en"] * 100), (2, None), (3, ""), (4, "short"), (5, TEXTS["zh"] * 3)]
